@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.shared import hadoop_path, micros, new_path
+from newsloom.shared import hadoop_path, micros, new_path, write_bytes
 
 GAP = 30 * 60 * 1_000_000
 DAY = 86_400_000_000
@@ -59,10 +59,7 @@ class SessionTable:
     def _publish(self, m: dict) -> None:
         """Replace the manifest in one rename: readers see the old table or the new one."""
         jvm = self.spark.sparkContext._jvm
-        tmp, fs = hadoop_path(self.spark, f"{self.path}/manifest-{m['version']}.tmp")
-        with_bytes = fs.create(tmp, True)
-        with_bytes.write(bytearray(json.dumps(m).encode()))
-        with_bytes.close()
+        tmp, fs = write_bytes(self.spark, f"{self.path}/manifest-{m['version']}.tmp", json.dumps(m).encode())
         dst, _ = hadoop_path(self.spark, f"{self.path}/manifest.json")
         fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         opts = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)

@@ -7,13 +7,17 @@ without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +43,30 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes):
+    p, fs = hadoop_path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+    return p, fs
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = f"{new_path(spark, 'package')}/{root.name}.zip"
+    write_bytes(spark, path, buf.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p, fs = hadoop_path(spark, path)
     fs.delete(p, True)
