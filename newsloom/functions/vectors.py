@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,15 @@ def scale(a: Column, k: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") * k)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda an outer expression would be computed
+    again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """a over its length; a vector shorter than 1e-12 stays as it is."""
-    n = norm(a)
-    return F.when(n > 1e-12, scale(a, 1.0 / F.when(n > 1e-12, n))).otherwise(scale(a, F.lit(1.0)))
+    return let(a, lambda v: let(F.when(norm(v) > 1e-12, norm(v)).otherwise(F.lit(1.0)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def fuse(content: Column, entity: Column, weight: float = 1.0) -> Column:
