@@ -51,7 +51,7 @@ GAP = r"[\p{Z}\s\p{Cc}\p{Cf}]"
 SEPARATOR = r"[\p{Z}\s\p{Cc},;|、，；｜،/]"
 OPEN, CLOSE = r"[\[({]", r"[\])}]"
 
-_edge = ahead(choice(many(GAP) + choice(SEPARATOR, CLOSE, r"\z"), CLOSE))
+_edge = ahead(choice(GAP, SEPARATOR, CLOSE, r"\z"))
 _quoted = seq('"', r'[^"]*+', many(r'""[^"]*+'), '"', _edge)
 _code = seq(r"\p{Nd}++", unless(WORD))
 _name = seq(unless("'"), WORD + "++", many(seq(" ", unless(_code), WORD + "++")))
