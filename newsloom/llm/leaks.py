@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.automaton import SuffixAutomaton
-from newsloom.llm.normal import has_tag_inside_word, words
+from newsloom.llm.normal import has_tag_inside_word, plain_words, words
 from newsloom.shared import materialize, ship_package
 
 BLOCK_WORDS = 200_000
@@ -48,15 +48,30 @@ class ItemAutomaton:
 
     def matches(self, ws: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Item to (end position, length of the longest match ending there), lengths >= min_words."""
-        step, link, length, owners, least = self.step, self.link, self.length, self.owners, self.min_words
+        vocab, least, n = self.vocab, self.min_words, len(ws)
         out: dict[int, list[tuple[int, int]]] = {}
-        s = n = 0
-        vocab = self.vocab
-        for k, w in enumerate(ws):
-            t = vocab.get(w)
-            if t is None:
-                s = n = 0
+        k = least - 1
+        while k < n:
+            if ws[k] not in vocab:
+                k += least  # every window that holds this word is lost
                 continue
+            a = k
+            while a and ws[a - 1] in vocab:
+                a -= 1
+            b = k + 1
+            while b < n and ws[b] in vocab:
+                b += 1
+            if b - a >= least:
+                self._stream(ws, a, b, out)
+            k = b + least
+        return out
+
+    def _stream(self, ws: list[str], a: int, b: int, out: dict[int, list[tuple[int, int]]]) -> None:
+        """Track the longest match over ws[a:b], all known words."""
+        step, link, length, owners, least, vocab = self.step, self.link, self.length, self.owners, self.min_words, self.vocab
+        s = n = 0
+        for k in range(a, b):
+            t = vocab[ws[k]]
             while s and t not in step[s]:
                 s = link[s]
                 n = length[s]
@@ -74,7 +89,6 @@ class ItemAutomaton:
                             seen.add(item)
                             out.setdefault(item, []).append((k, min(n, length[x])))
                     x = link[x]
-        return out
 
 
 def _covered(hits: list[tuple[int, int]]) -> list[list[int]]:
@@ -88,6 +102,13 @@ def _covered(hits: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _readings(text: str) -> Iterator[list[str]]:
+    """The words of a text; a second reading if a tag stands inside a word."""
+    yield plain_words(text)
+    if has_tag_inside_word(text):
+        yield plain_words(text, joined=True)
+
+
 def _variants(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
     yield words(text)
     if has_tag_inside_word(text):
@@ -99,7 +120,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, min_words: int, block_wor
     block: list[tuple[int, list[str]]] = []
     n = 0
     for i, t in items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        versions = {tuple(ws) for ws, _ in _variants(t) if len(ws) >= min_words}
+        versions = {tuple(ws) for ws in _readings(t) if len(ws) >= min_words}
         for ws in versions:
             if block and n + len(ws) > block_words:
                 yield block
@@ -142,7 +163,7 @@ def find_leaks(
             for pdf in batches:
                 rows = []
                 for d, t in zip(pdf["d"], pdf["t"]):
-                    for ws, _ in _variants(t):
+                    for ws in _readings(t):
                         for item, hits in a.matches(ws).items():
                             longest = max(n for _, n in hits)
                             rows.append((d, item, longest, sum(y - x for x, y in _covered(hits)), longest / a.sizes[item]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import html
+import re
 import unicodedata
 
 import regex
@@ -45,5 +46,24 @@ def words(text: str | None, joined: bool = False) -> tuple[list[str], list[tuple
     return out, spans
 
 
+_ENTITY = regex.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\p{L}{2,31}\d{0,2});")
+_ASCII = re.compile("[a-z0-9]+")
+
+
+def plain_words(text: str | None, joined: bool = False) -> list[str]:
+    """The normal words alone, without spans: whole-text steps in place of a step per word."""
+    if not text:
+        return []
+    t = text
+    if "<" in t:
+        t = _ANY_TAG.sub("" if joined else " ", t)
+    if "&" in t:
+        t = _ENTITY.sub(lambda m: html.unescape(m.group()), t)
+    if t.isascii():
+        return _ASCII.findall(t.lower())
+    t = unicodedata.normalize("NFKC", _UNSEEN.sub("", t)).casefold()
+    return _RUN.findall(unicodedata.normalize("NFKC", t))
+
+
 def has_tag_inside_word(text: str) -> bool:
     return "<" in text and _INSIDE.search(text) is not None
