@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 
@@ -58,9 +59,71 @@ class SuffixAutomaton:
         return out
 
 
-def repeated_lengths(tokens: Sequence[int]) -> list[int]:
+def repeated_lengths(tokens: Sequence[int], least: int = 1) -> list[int]:
     """For each position the length of the longest substring that ends there and also occurs
-    elsewhere in the sequence."""
-    sam = SuffixAutomaton()
-    ends = sam.add(tokens)
-    return [sam.length[sam.link[s]] for s in ends]
+    elsewhere in the sequence; lengths below ``least`` may be given as 0.
+
+    A token that occurs once is part of no repeat, so the automaton takes only runs of at least
+    ``least`` recurring tokens, each run behind a mark of its own.
+    """
+    n = len(tokens)
+    out = [0] * n
+    count = Counter(tokens)
+    seq: list[int] = []
+    at: list[int] = []
+    i = 0
+    while i < n:
+        if count[tokens[i]] < 2:
+            i += 1
+            continue
+        j = i + 1
+        while j < n and count[tokens[j]] > 1:
+            j += 1
+        if j - i >= least:
+            seq.append(-1 - len(seq))
+            at.append(-1)
+            seq.extend(tokens[i:j])
+            at.extend(range(i, j))
+        i = j + 1
+    for k, length in zip(at, _link_lengths(seq)):
+        if k >= 0:
+            out[k] = length
+    return out
+
+
+def _link_lengths(tokens: Sequence[int]) -> list[int]:
+    """For each position the length of the suffix link of the automaton's state there: of the longest
+    substring that ends there and also occurs elsewhere, given that the first token occurs once."""
+    length, link, step = [0], [-1], [{}]
+    ends = []
+    last = 0
+    for t in tokens:
+        new = len(length)
+        length.append(length[last] + 1)
+        link.append(0)
+        step.append({})
+        ends.append(new)
+        p = last
+        here = step[p]
+        while t not in here:
+            here[t] = new
+            p = link[p]
+            if p < 0:
+                break
+            here = step[p]
+        if p >= 0:
+            q = here[t]
+            n = length[p] + 1
+            if length[q] == n:
+                link[new] = q
+            else:
+                c = new + 1
+                length.append(n)
+                link.append(link[q])
+                step.append(step[q].copy())
+                link[q] = link[new] = c
+                while p >= 0 and step[p].get(t) == q:
+                    step[p][t] = c
+                    p = link[p]
+        last = new
+    return [length[link[s]] for s in ends]

@@ -4,14 +4,16 @@ Method: the suffix automaton of each page's words gives, for every place, the lo
 ends there and occurs elsewhere on the page; passages of several words that repeat are covered
 characters. The page is cut into segments (lines and sentences), and each segment is asked for
 clause structure: running words held together by function words. A segment's characters count as
-stuffing if it has no clause structure, if it is a repeated passage again, or if it is mostly made
-of the page's keywords; in a clause, runs of words too long to be held together count alone. A
-page is stuffed if more than half of its characters, blanks and tags aside, are stuffing; a
-sentence that recurs counts as prose the first time.
+stuffing if it has no clause structure, if it is mostly made of the page's keywords, or if it is
+covered by repeated passages and one word makes up much of it; in a clause, runs of words too long
+to be held together count alone. A page is stuffed if more than half of its characters, blanks and
+tags aside, are stuffing. A whole sentence that recurs in news is prose.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 
 import pandas as pd
@@ -27,48 +29,53 @@ GLUE = frozenset(
     """a about after again all also although an and any are as asked at because been before began being but by can could did do does during each
     first for from had has have he her his how i if in into is it its later more most no nor not of on once one only or other our over said she since
     so some still than that the their them then there these they this those to too under until upon was we were what when where which while who why
-    will with would you your neither between told without
+    will following may might must shall through via with would you your neither between told without
     af alle at blev både både da de den der deres derefter derfor det dette du efter eller en end er et for fordi fra før først går ham han har havde have
     hun hver hverken hvis hvor hvorfor i ikke ind indtil kan kaldte kom kun man med mellem men mens mindst min må ned nogle nok nu næsten når og også om op
     over på sagde selv siden sig sin skal som stadig så til trods ud uden under var ved vi vil være
     aber als am an auch auf aus bei bevor bis da dann das dass dem den der des die doch durch ein eine einem einen einer er es für gegen hat hatte ihr ihre
-    im in ist kein keine laut man mit nach nannte nicht noch nur ob obwohl oder ohne sagte sein seine sich sie sind so trotz um und unter vom von vor war
+    im in ist kein keine man mit nach nannte nicht noch nur ob obwohl oder ohne sagte sein seine sich sie sind so trotz um und unter vom von vor war
     waren warum was weder weil wenn werden wie wird wo während wurde zu zuerst zum zur zwischen über""".split()
 )
 
+# Articles, which stand before listed nouns as well.
+ARTICLES = frozenset("a an the der die das den dem des ein eine einen einem einer en et den det de".split())
+BINDING = GLUE - ARTICLES
+
 #: share of a segment's content words that are the page's keywords at which it is no sentence
 KEYWORD_SHARE = 0.34
 #: words in a row without a function word that a clause may have
 LONGEST_RUN = 12
 
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}’']+")
+_WORD = re.compile(r"[\w'’]+")
 # Links: an address alone, or one wrapped in markup with its anchor text.
-_LINK = regex.compile(r"<a\b[^<>]*>.*?</a>|\[[^\[\]]{0,300}\]\([^()\s]*\)|(?:https?://|ftp://|www\.)[^\s<>\"')\]]+|\b(?:[\w-]+\.)+\p{L}{2,}(?:/[^\s<>\"')\]]*|(?=\s|$))", regex.S | regex.I)
+_LINK = regex.compile(r"<a\b[^<>]*>.*?</a>|\[[^\[\]]{0,300}\]\([^()\s]*\)|(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", regex.S | regex.I)
+_LINK_SIGNS = ("<a", "](", "://", "www.", "<A", "WWW.")
+_DOMAIN = regex.compile(r"\b(?:[\w-]+\.)+\p{L}{2,}(?:/[^\s<>\"')\]]*|(?=\s|$))")
+_DOMAIN_SIGN = re.compile(r"\w\.[^\W\d_]{2}")
 _TAG = regex.compile(r"<(?:!--.*?--|[/!?]?\p{L}[^<>]*)>", regex.S)
-_BREAK = regex.compile(r"\n+|(?<=[.!?…])[\"”»')\]]*\s+")
+_BREAK = re.compile(r"\n+|(?<=[.!?…])[\"”»')\]]*\s+")
 _UNSEEN = regex.compile(r"\p{Cf}")
 _HASH = regex.compile(r"[#@][\p{L}\p{N}_]+|\b\p{L}{2,12}[:=][\p{L}\p{N}_-]+")
+_HASH_SIGN = re.compile(r"[#@:=]")
+
+
+def _mark(m) -> str:
+    return "￼" * (m.end() - m.start())
 
 
-def _segments(text: str) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for m in _BREAK.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return out
+def _segments(text: str) -> list[str]:
+    """Lines and sentences, without the breaks between them."""
+    return [x for x in _BREAK.split(text) if x]
 
 
 def _has_clause(ws: list[str]) -> bool:
     """Running words with function words among them."""
     if len(ws) < 4:
         return False
-    glue = [k for k, w in enumerate(ws) if w in GLUE]
-    if len(glue) < max(1, len(ws) // 10) or len(glue) > 0.8 * len(ws):
-        return False
-    return True
+    glue = sum(w in GLUE for w in ws)
+    binding = sum(w in BINDING for w in ws)
+    return max(1, len(ws) // 10) <= glue <= 0.8 * len(ws) and binding >= max(1, len(ws) // 16)
 
 
 def _loose_chars(ws: list[str]) -> int:
@@ -85,65 +92,63 @@ def page_figures(text: str | None, min_repeat: int = 3) -> dict[str, float]:
     zero = {"links": 0.0, "repeated": 0.0, "no_clause": 0.0, "stuffed": 0.0}
     if not text:
         return zero
-    # Links become one mark of their own length; other tags vanish.
-    marks: list[tuple[int, str]] = []
-    parts, at = [], 0
-    for m in _LINK.finditer(text):
-        parts.append(text[at : m.start()])
-        parts.append("￼" * (m.end() - m.start()))
-        at = m.end()
-    t = _UNSEEN.sub("", "".join([*parts, text[at:]]))
-    t = _TAG.sub(lambda m: " " * (m.end() - m.start()), t)
-    size = lambda s: len(s) - sum(map(s.count, " \n\t\r\xa0"))
+    # A link becomes marks of its own length; other tags vanish.
+    t = text
+    if any(x in t for x in _LINK_SIGNS):
+        t = _LINK.sub(_mark, t)
+    if _DOMAIN_SIGN.search(t):
+        t = _DOMAIN.sub(_mark, t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", _UNSEEN.sub("", t))
+    size = lambda s: len("".join(s.split()))
     total = size(t)
     if not total:
         return zero
-    spans = [m.span() for m in _WORD.finditer(t)]
-    low = [t[a:b].lower() for a, b in spans]
+    texts = _segments(t)
+    split = [_WORD.findall(seg.lower()) for seg in texts]
+    low = [w for ws in split for w in ws]
     ids: dict[str, int] = {}
-    again = repeated_lengths([ids.setdefault(w, len(ids)) for w in low])
+    again = repeated_lengths([ids.setdefault(w, len(ids)) for w in low], min_repeat)
     covered, done = [False] * len(low), 0  # all before done is settled
     for k, n in enumerate(again):
         if n >= min_repeat:
             start = max(k - n + 1, 0)
             covered[max(start, done) : k + 1] = [True] * (k + 1 - max(start, done))
             done = k + 1 if start <= done else done
-    freq = Counter(x for x in low if x not in GLUE)
+    # A passage that recurs whole counts once, so its words are not taken for keywords.
+    freq = Counter(x for ws in set(map(tuple, split)) for x in ws if x not in GLUE)
     often = max(5, 0.05 * sum(freq.values()))
     keys = {x for x, c in freq.items() if c >= often}
     links = t.count("￼")
     stuffed = no_clause = repeated = 0
-    seen: set[str] = set()
-    w = 0
-    for a, b in _segments(t):
-        seg = t[a:b]
+    end = 0
+    for seg, ws in zip(texts, split):
+        start, end = end, end + len(ws)
+        cov = covered[start:end]
         n = size(seg)
         if not n:
             continue
-        first = w
-        while w < len(spans) and spans[w][0] < b:
-            w += 1
-        ws, cov = low[first:w], covered[first:w]
         in_links = seg.count("￼")
         prose = n - in_links
         chars = sum(map(len, ws)) or 1
         rep = sum(len(x) for x, c in zip(ws, cov) if c) / chars
         repeated += rep * prose
-        tags = sum(len(m.group()) for m in _HASH.finditer(seg))
+        tags = sum(len(m.group()) for m in _HASH.finditer(seg)) if _HASH_SIGN.search(seg) else 0
         clause = _has_clause(ws) and tags < 0.3 * prose and in_links < n
         stuffed += in_links
         if not clause:
             no_clause += prose
             stuffed += prose
             continue
-        key = " ".join(ws)
         content = [x for x in ws if x not in GLUE]
-        stuffed_words = sum(x in keys for x in content)
-        if rep > 0.75 and key in seen or len(ws) >= 4 and stuffed_words >= KEYWORD_SHARE * len(content):
+        share = KEYWORD_SHARE * len(content)
+        again = rep > 0.5 and max(Counter(content).values(), default=0) >= max(2, share)
+        if again or sum(x in keys for x in content) >= share:
             stuffed += prose
         else:
             stuffed += _loose_chars(ws)
-        seen.add(key)
     return {"links": links / total, "repeated": repeated / total, "no_clause": no_clause / total, "stuffed": stuffed / total}
 
 
