@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from newsloom.shared import drop_path, micros, new_path, store
 
 
-def _period(t: Column, bounds: list[int]) -> Column:
+def period(t: Column, bounds: list[int]) -> Column:
     """Number of period starts at or before t."""
     if not bounds:
         return F.lit(0)
@@ -64,11 +64,11 @@ def known_versions(
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{i}").alias("id")) for i, k in enumerate(entities)])
     ev = ev.select("e", "t", F.explode(kinds).alias("x")).select("e", "t", "x.kind", "x.id").where("id IS NOT NULL")
     # Repeats merge before the shuffle.
-    ev = keep(ev.groupBy("e", "kind").agg(F.min("t").alias("t"), F.min_by("id", F.struct("t", "id")).alias("id")).withColumn("period", _period(F.col("t"), bounds)), "p5-events")
+    ev = keep(ev.groupBy("e", "kind").agg(F.min("t").alias("t"), F.min_by("id", F.struct("t", "id")).alias("id")).withColumn("period", period(F.col("t"), bounds)), "p5-events")
 
     change = F.struct(micros(valid_from).alias("vf"), micros(recorded_at).alias("ra"), F.col(version).cast("long").alias("ver"))
     log = versions.where(F.col(kind).isin(*entities)).select(F.col(kind).alias("kind"), F.col(entity).cast("string").alias("id"), change.alias("c")).where("id IS NOT NULL AND c.vf IS NOT NULL AND c.ra IS NOT NULL AND c.ver IS NOT NULL")
-    log = log.withColumn("t", F.greatest("c.vf", "c.ra")).withColumn("period", _period(F.col("t"), bounds))
+    log = log.withColumn("t", F.greatest("c.vf", "c.ra")).withColumn("period", period(F.col("t"), bounds))
 
     # Snapshots: the running best of the periods before, for the periods that have events. An
     # entity has at most two rows per period here.

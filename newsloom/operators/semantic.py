@@ -34,37 +34,29 @@ def score_candidates(cands: DataFrame, users: DataFrame, vectors: DataFrame) ->
 def search_top(users: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """``impression_id, rank, article_id, score``: exact inner-product top k against the whole corpus.
 
-    The corpus is cut into blocks of at most ``block`` vectors; every batch of queries meets one
-    block at a time in a matrix product that keeps k per query, and the blocks' bests are merged.
-    Equal scores (to 9 places) go by article.
+    Queries and corpus are cut into blocks of about ``block`` vectors by hash; each pair of blocks is
+    one matrix product that keeps k per query, and a query's bests of all blocks are merged. Every
+    task holds two blocks, the driver none. Equal scores (to 9 places) go by article.
     """
-    spark = users.sparkSession
-    ship_package(spark)
-    numbered = vectors.select("article_id", "vec")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    corpus = materialize(numbered.withColumn("__b", F.pmod(F.xxhash64("article_id"), F.lit(blocks)).cast("int")), "corpus", "__b")
+    ship_package(users.sparkSession)
+    q, c = users.select("impression_id", "user_vec"), vectors.select("article_id", "vec")
+    blocks = lambda d: max(1, -(-d.count() // block))
+    nq, nc = blocks(q), blocks(c)
+    place = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("__q", place("impression_id", nq)).withColumn("__c", every(nc))
+    right = c.withColumn("__c", place("article_id", nc)).withColumn("__q", every(nq))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"impression_id": x["impression_id"][:0], "article_id": [], "score": []})
+        y = y.sort_values("article_id")
+        s = np.round(np.stack(x["user_vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T, 9)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"impression_id": np.repeat(x["impression_id"].to_numpy(), top.shape[1]), "article_id": y["article_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+
     kind = users.schema["impression_id"].dataType.simpleString()
-    out: DataFrame | None = None
-    for b in range(blocks):
-        rows = corpus.where(F.col("__b") == b).orderBy("article_id").select("article_id", "vec").toPandas()
-        if rows.empty:
-            continue
-        held = spark.sparkContext.broadcast((rows["article_id"].to_numpy(dtype=object), np.stack(rows["vec"].to_numpy()).astype("float64")))
-
-        def best(batches, held=held):
-            ids, mat = held.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                s = np.round(np.stack(pdf["user_vec"].to_numpy()) @ mat.T, 9)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"impression_id": np.repeat(pdf["impression_id"].to_numpy(), top.shape[1]), "article_id": ids[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-
-        part = users.select("impression_id", "user_vec").mapInPandas(best, f"impression_id {kind}, article_id string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"impression_id {kind}, rank int, article_id string, score double")
+    out = left.groupBy("__q", "__c").cogroup(right.groupBy("__q", "__c")).applyInPandas(best, f"impression_id {kind}, article_id string, score double")
     w = W.partitionBy("impression_id").orderBy(F.col("score").desc(), "article_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("impression_id", "rank", "article_id", "score")
 
