@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import tokens
 from newsloom.operators.history import DECAY, RECENT, recent_weights
+from newsloom.shared import spread
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,7 @@ def score_candidates(cands: DataFrame, terms: DataFrame, index: DataFrame, arts:
     """``impression_id, pos, article_id, bm25_score`` of shown articles only. Unknown articles and terms
     score 0. With entities their shared weights are added, times ``boost``."""
     shown = cands.select("impression_id", "article_id").distinct()
-    hit = shown.join(index, "article_id").join(terms, ["impression_id", "term"])
+    hit = shown.join(index, "article_id").join(spread(terms, "impression_id", "term"), ["impression_id", "term"])
     s = hit.groupBy(*keys, "impression_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("s"))
     if entities is not None and arts is not None:
         de = arts.select("article_id", F.explode(F.array_distinct("entities")).alias("entity"))
@@ -109,6 +110,6 @@ def score_candidates(cands: DataFrame, terms: DataFrame, index: DataFrame, arts:
 def search_top(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """``impression_id, rank, article_id, score``: the k best of the whole corpus, equal scores by
     article; articles sharing no term never come out."""
-    s = terms.join(index, "term").groupBy("impression_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    s = spread(terms, "impression_id").join(index, "term").groupBy("impression_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
     w = W.partitionBy("impression_id").orderBy(F.round("score", 9).desc(), "article_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("impression_id", "rank", "article_id", "score")

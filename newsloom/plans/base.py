@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.session import table
+from newsloom.shared import materialize
 from newsloom.sources import click_log
 
 
@@ -17,6 +18,12 @@ def inter(s: SparkSession, d: str) -> DataFrame:
     return click_log.interactions(table(s, d, "behaviors"))
 
 
+def stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles, interactions and candidates for queries that use them several times: parsed once."""
+    i = materialize(inter(s, d), "interactions")
+    return materialize(arts(s, d), "articles"), i, click_log.candidates(i)
+
+
 def cands(s: SparkSession, d: str) -> DataFrame:
     return click_log.candidates(inter(s, d))
 

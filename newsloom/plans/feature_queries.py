@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import features, guards, history, ranking, resample
-from newsloom.plans.base import ART, CND, HIST, IMP, arts, cands, inter, r6, with_
+from newsloom.plans.base import ART, CND, HIST, IMP, arts, cands, inter, r6, stored, with_
 from newsloom.session import table
 from newsloom.sources import click_log
 
@@ -49,12 +49,17 @@ def history_recent_weights(s: SparkSession, d: str) -> DataFrame:
 
 
 def category_match(s: SparkSession, d: str) -> DataFrame:
-    c = features.category_match(cands(s, d), inter(s, d), arts(s, d))
+    a, i, c = stored(s, d)
+    c = features.category_match(c, i, a)
     return c.select("impression_id", "pos", "article_id", r6("history_category_match"))
 
 
 def _prior(s: SparkSession, d: str, legacy: bool = False) -> DataFrame:
-    i = inter(s, d).withColumn("n_clicked", F.size(F.filter("labels", lambda x: x == 1)))
+    return _prior_of(inter(s, d), legacy)
+
+
+def _prior_of(i: DataFrame, legacy: bool = False) -> DataFrame:
+    i = i.withColumn("n_clicked", F.size(F.filter("labels", lambda x: x == 1)))
     return history.prior_figures(i, legacy)
 
 
@@ -71,8 +76,8 @@ def prior_engagement_mean_legacy(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_features(s: SparkSession, d: str) -> DataFrame:
-    i, c = inter(s, d), cands(s, d)
-    f = features.candidate_features(i, arts(s, d), c, _prior(s, d))
+    a, i, c = stored(s, d)
+    f = features.candidate_features(i, a, c, _prior_of(i))
     dbl = ("history_category_match", "train_ctr", "article_days_since_publish", "user_avg_past_read_time", "user_avg_past_scroll_pct")
     return f.drop("history_embedding_sim").select(*[r6(x) if x in dbl else x for x in f.columns if x != "history_embedding_sim"])
 

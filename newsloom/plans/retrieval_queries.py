@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.vectors import dot, fuse
 from newsloom.operators import bm25f, features, history, metrics, ranking, resample, semantic
 from newsloom.operators.bm25f import Bm25f
-from newsloom.plans.base import ART, CND, HIST, IMP, TOK, VEC, arts, cands, inter, r6, vectors, with_
+from newsloom.plans.base import ART, CND, HIST, IMP, TOK, VEC, arts, cands, inter, r6, stored, vectors, with_
 from newsloom.plans.feature_queries import uniform_sql
 from newsloom.session import table
 from newsloom.shared import first_rows, materialize, number
@@ -48,11 +48,12 @@ def _queries(df: DataFrame) -> DataFrame:
 
 
 def _lexical(s: SparkSession, d: str, entities: bool = False) -> DataFrame:
-    a, i = arts(s, d), _val(inter(s, d))
-    index = bm25f.postings(a)
-    q = bm25f.query_terms(i, a, vocab=index.select("term").distinct())
+    a, i, c = stored(s, d)
+    i, c = _val(i), _val(c)
+    index = materialize(bm25f.postings(a), "postings")
+    q = materialize(bm25f.query_terms(i, a, vocab=index.select("term").distinct()), "terms")
     e = bm25f.query_entities(i, a) if entities else None
-    return bm25f.score_candidates(_val(cands(s, d)), q, index, a, e)
+    return bm25f.score_candidates(c, q, index, a, e)
 
 
 def bm25f_restricted(s: SparkSession, d: str) -> DataFrame:
@@ -64,9 +65,10 @@ def entity_boost(s: SparkSession, d: str) -> DataFrame:
 
 
 def _found(s: SparkSession, d: str, k: int) -> DataFrame:
-    a = arts(s, d)
-    index = bm25f.postings(a)
-    return bm25f.search_top(bm25f.query_terms(_queries(inter(s, d)), a, vocab=index.select("term").distinct()), index, k)
+    a = materialize(arts(s, d), "articles")
+    index = materialize(bm25f.postings(a), "postings")
+    terms = materialize(bm25f.query_terms(_queries(inter(s, d)), a, vocab=index.select("term").distinct()), "terms")
+    return bm25f.search_top(terms, index, k)
 
 
 def bm25f_topk(s: SparkSession, d: str) -> DataFrame:
@@ -208,9 +210,10 @@ def bootstrap_coverage(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_grid(s: SparkSession, d: str) -> DataFrame:
     """Mean AUC of every (k1, b): one index, one join, all grid points in the weight expression."""
-    a, i, c = arts(s, d), _val(inter(s, d)), _val(cands(s, d))
+    a, i, c = stored(s, d)
+    i, c = _val(i), _val(c)
     stats = materialize(bm25f.field_stats(a), "bm25-stats")
-    terms = bm25f.query_terms(i, a, vocab=stats.select("term").distinct())
+    terms = materialize(bm25f.query_terms(i, a, vocab=stats.select("term").distinct()), "terms")
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in GRID_K1 for b in GRID_B]))
     # The grid rides along as columns of the statistics, so it is a fixed factor of the index.
     g = stats.withColumn("g", grid).select("*", "g.k1", "g.b").drop("g")

@@ -7,8 +7,10 @@ without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
 import io
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,13 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="newsloom-")
+        own = tempfile.mkdtemp(prefix="newsloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _LOCAL[app] = f"file://{own}"
         spark.sparkContext.setCheckpointDir(_LOCAL[app])
     return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Remove every intermediate table this application made; results read from them end here."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        drop_path(spark, path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by keys into the session's number of shuffle partitions, which adaptive execution
+    keeps: for rows that are few but multiply in the next join."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def hadoop_path(spark: SparkSession, path: str):
