@@ -70,7 +70,7 @@ def key_quantiles(
     total = hist.agg(F.sum("c")).first()[0] or 0
     counts = hist.where("k IS NOT NULL").groupBy("k").agg(F.sum("c").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("c"))), F.lit(0)).alias("n_values"))
     if min_share is not None:
-        counts = counts.where(F.col("n_rows") >= F.lit(min_share) * F.lit(total))
+        counts = counts.where(F.col("n_rows") >= F.lit(min_share * total * (1 - 1e-12)))
     counts = keep(counts, "p2-counts")
 
     # One target rank per key and probability.
