@@ -82,7 +82,7 @@ def reciprocal_rank_fusion(
     position: str | None = None,
     version: str | None = None,
     k: int = 60,
-    hot_rows: int = 10_000,
+    hot_rows: int = 1_000,
 ) -> DataFrame:
     """``group, item, rank_<score>..., rrf_score, position, plain_sum, top_sum``, one row per item.
 
