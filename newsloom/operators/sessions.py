@@ -94,8 +94,9 @@ class SessionTable:
         if not spans:
             return
         local = _merge(_cells(fresh, self.gap), self.gap)
-        # Stored parts that a new event can reach; each part's manifest entry has its bounds.
-        hit = {k: s for k, s in m["sessions"].items() if any(lo - self.gap <= s["max"] and hi + self.gap >= s["min"] for _, lo, hi in spans)}
+        # Stored parts that a new event can reach, by their bounds in the manifest, and those it falls in: they are written anew.
+        own = {str(p) for p, _, _ in spans}
+        hit = {k: s for k, s in m["sessions"].items() if k in own or any(lo - self.gap <= s["max"] and hi + self.gap >= s["min"] for _, lo, hi in spans)}
         stored = self._read([s["path"] for s in hit.values()], SESSION_SCHEMA)
         kept = stored.select("user_id", F.struct(F.col("start").alias("t"), F.col("first_id").alias("id")).alias("a"), F.struct(F.col("end").alias("t"), F.col("last_id").alias("id")).alias("z"), "n")
         merged = _merge(local.unionByName(kept), self.gap)

@@ -107,3 +107,11 @@ def test_bridge_repeat_and_empty_batches(spark):
     t.apply(mk([(1, 1, 0)]), *cols)
     assert _seen(t.read()) == [(1, 1, 2, 3), (2, 9, 9, 1)]
     assert t.read().where("user_id = 1").first().duration_s == 3600.0
+
+
+def test_batches_of_one_week_far_apart(spark):
+    t = SessionTable(spark)
+    cols = ("user_id", "impression_id", "impression_time")
+    for xs in ([(1, 1, 0), (1, 2, 10)], [(1, 3, 600), (2, 4, 610)], [(1, 5, 300)]):  # the last falls between stored sessions
+        t.apply(spark.createDataFrame([(u, i, T0 + timedelta(minutes=m), None) for u, i, m in xs], SC), *cols)
+    assert _seen(t.read()) == [(1, 1, 2, 2), (1, 3, 3, 1), (1, 5, 5, 1), (2, 4, 4, 1)]
