@@ -5,9 +5,11 @@ ends there and occurs elsewhere on the page; passages of several words that repe
 characters. The page is cut into segments (lines and sentences), and each segment is asked for
 clause structure: running words held together by function words. A segment's characters count as
 stuffing if it has no clause structure, if it is mostly made of the page's keywords, or if it is
-covered by repeated passages and one word makes up much of it; in a clause, runs of words too long
-to be held together count alone. A page is stuffed if more than half of its characters, blanks and
-tags aside, are stuffing. A whole sentence that recurs in news is prose.
+covered by repeated passages and one word makes up much of it. In any other segment covered by
+repeated passages, what was told before counts: the first occurrence of a passage is prose, and in
+whole sentences, which may recur in news, the first KEPT. In a clause, runs of words too long to be
+held together count alone. A page is stuffed if more than half of its characters, blanks and tags
+aside, are stuffing.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ BINDING = GLUE - ARTICLES
 
 #: share of a segment's content words that are the page's keywords at which it is no sentence
 KEYWORD_SHARE = 0.34
+#: occurrences of a passage that are prose in whole sentences; in other segments it is one
+KEPT = 9
 #: words in a row without a function word that a clause may have
 LONGEST_RUN = 12
 
@@ -85,6 +89,26 @@ def _loose_chars(ws: list[str]) -> int:
     return sum(sum(map(len, ws[a + 1 : b])) for a, b in zip(edges, edges[1:]) if b - a - 1 > LONGEST_RUN)
 
 
+def _whole(texts: list[str]) -> list[bool]:
+    """Whether a segment is a sentence with its final mark, or a line of one that goes on below."""
+    out = [False] * len(texts)
+    for k in range(len(texts) - 1, -1, -1):
+        goes_on = k + 1 < len(texts) and out[k + 1] and texts[k + 1].lstrip()[:1].islower()
+        out[k] = goes_on or texts[k].rstrip(" \t\r\"”»')]*").endswith((".", "!", "?", "…"))
+    return out
+
+
+def _occurrences(low: list[str], n: int) -> list[int]:
+    """For every word the number of the occurrence, 1 for the first, of the passages of ``n`` words around it: the largest."""
+    seen: Counter = Counter()
+    out = [0] * len(low)
+    for k, x in enumerate(zip(*(low[i:] for i in range(n)))):
+        seen[x] += 1
+        if seen[x] > 1:
+            out[k : k + n] = [max(y, seen[x]) for y in out[k : k + n]]
+    return out
+
+
 def page_figures(text: str | None, min_repeat: int = 3) -> dict[str, float]:
     """Shares of a page's characters, blanks and tags aside: ``links``, ``repeated`` (covered by
     passages of ``min_repeat`` words or more that occur elsewhere on the page), ``no_clause`` and
@@ -124,7 +148,8 @@ def page_figures(text: str | None, min_repeat: int = 3) -> dict[str, float]:
     links = t.count("￼")
     stuffed = no_clause = repeated = 0
     end = 0
-    for seg, ws in zip(texts, split):
+    whole = nth = None
+    for j, (seg, ws) in enumerate(zip(texts, split)):
         start, end = end, end + len(ws)
         cov = covered[start:end]
         n = size(seg)
@@ -147,8 +172,14 @@ def page_figures(text: str | None, min_repeat: int = 3) -> dict[str, float]:
         again = rep > 0.5 and max(Counter(content).values(), default=0) >= max(2, share)
         if again or sum(x in keys for x in content) >= share:
             stuffed += prose
-        else:
-            stuffed += _loose_chars(ws)
+            continue
+        told = 0.0
+        if rep > 0.5:
+            if nth is None:
+                whole, nth = _whole(texts), _occurrences(low, min_repeat)
+            kept = KEPT if whole[j] else 1
+            told = sum(len(x) for x, o in zip(ws, nth[start:end]) if o > kept) / chars * prose
+        stuffed += max(told, _loose_chars(ws))
     return {"links": links / total, "repeated": repeated / total, "no_clause": no_clause / total, "stuffed": stuffed / total}
 
 

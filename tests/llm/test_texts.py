@@ -159,3 +159,12 @@ def test_stuffing(spark):
     assert len(out) == len(STUFFED + FINE) + 1 and sorted(r.doc_id for r in out if r.is_stuffed and r.doc_id is not None) == list(range(len(STUFFED)))
     assert stuffing(d.limit(0)).count() == 0
     assert page_figures("lamp " * 100_000)["stuffed"] == 1.0
+
+
+def test_stuffing_repeated_passages():
+    line = "Looking for best price on shoes in Berlin"
+    for t in (f"{line}\n" * 20, f"{line.lower()}\n" * 20, f"{line}.\n" * 40, f"{line}\n{line} today\n" * 8):
+        assert page_figures(t)["stuffed"] > 0.5, t
+    wrapped = NEWS.replace("and the", "\nand the").replace("before it", "\nbefore it")
+    for t in (f"{line}\n" + NEWS * 2, f"{line}\n" * 3 + NEWS * 2, NEWS * 9, wrapped * 4):
+        assert page_figures(t)["stuffed"] <= 0.5, t
