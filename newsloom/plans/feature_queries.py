@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators import features, guards, history, ranking, resample
-from newsloom.plans.base import ART, CND, HIST, IMP, arts, cands, inter, r6, stored, with_
+from newsloom.operators import features, guards, history, ranking, resample, semantic
+from newsloom.plans.base import ART, CND, HIST, IMP, arts, cands, inter, r6, stored, vectors, with_
 from newsloom.session import table
 from newsloom.sources import click_log
 
@@ -82,6 +82,15 @@ def candidate_features(s: SparkSession, d: str) -> DataFrame:
     return f.drop("history_embedding_sim").select(*[r6(x) if x in dbl else x for x in f.columns if x != "history_embedding_sim"])
 
 
+def candidate_features_whole(s: SparkSession, d: str) -> DataFrame:
+    """All features, with the likeness of history and article."""
+    a, i, c = stored(s, d)
+    v = vectors(s, d)
+    f = features.candidate_features(i, a, c, _prior_of(i), semantic.score_candidates(c, semantic.user_vectors(i, v), v))
+    dbl = ("history_category_match", "train_ctr", "article_days_since_publish", "user_avg_past_read_time", "user_avg_past_scroll_pct")
+    return f.select(*[F.round(x, 5).alias(x) if x == "history_embedding_sim" else r6(x) if x in dbl else x for x in f.columns])
+
+
 def feature_score_join(s: SparkSession, d: str) -> DataFrame:
     """Features joined with the scores of the same impression and article (latest scored)."""
     c = cands(s, d).select("impression_id", "article_id", "pos", "label")
@@ -152,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         popularity_rank, rank_lines, article_features, user_features_cutoff, click_history, split_boundaries, first_seen_freshness, history_recent_weights, category_match,
-        session_prior_clicks, prior_engagement_mean, prior_engagement_mean_legacy, candidate_features, feature_score_join, profile_summary, null_profile, value_counts,
+        session_prior_clicks, prior_engagement_mean, prior_engagement_mean_legacy, candidate_features, candidate_features_whole, feature_score_join, profile_summary, null_profile, value_counts,
         latency_percentiles, set_union_dedupe, intersect_except, negative_sampling, sampled_impressions, user_sessions_streamable,
     )
 }

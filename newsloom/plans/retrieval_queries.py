@@ -47,9 +47,10 @@ def _queries(df: DataFrame) -> DataFrame:
     return df.where(F.col("impression_id") % 50 == 0)
 
 
-def _lexical(s: SparkSession, d: str, entities: bool = False) -> DataFrame:
+def _lexical(s: SparkSession, d: str, entities: bool = False, whole: bool = False) -> DataFrame:
     a, i, c = stored(s, d)
-    i, c = _val(i), _val(c)
+    if not whole:
+        i, c = _val(i), _val(c)
     index = materialize(bm25f.postings(a), "postings")
     q = materialize(bm25f.query_terms(i, a, vocab=index.select("term").distinct()), "terms")
     e = bm25f.query_entities(i, a) if entities else None
@@ -64,6 +65,16 @@ def entity_boost(s: SparkSession, d: str) -> DataFrame:
     return _lexical(s, d, True).select("impression_id", "pos", "article_id", r6("bm25_score"))
 
 
+def bm25f_restricted_whole(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of all splits."""
+    return _lexical(s, d, whole=True).select("impression_id", "pos", "article_id", r6("bm25_score"))
+
+
+def entity_boost_whole(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of all splits."""
+    return _lexical(s, d, True, True).select("impression_id", "pos", "article_id", r6("bm25_score"))
+
+
 def _found(s: SparkSession, d: str, k: int) -> DataFrame:
     a = materialize(arts(s, d), "articles")
     index = materialize(bm25f.postings(a), "postings")
@@ -89,6 +100,12 @@ def cosine_candidates(s: SparkSession, d: str) -> DataFrame:
     return _semantic(s, d).select("impression_id", "pos", "article_id", F.round("semantic_score", 5).alias("semantic_score"))
 
 
+def cosine_candidates_whole(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of all splits."""
+    v = vectors(s, d)
+    return semantic.score_candidates(cands(s, d), semantic.user_vectors(inter(s, d), v), v).select("impression_id", "pos", "article_id", F.round("semantic_score", 5).alias("semantic_score"))
+
+
 def _first_vectors(s: SparkSession, d: str) -> DataFrame:
     """Vectors of the embeddings table under ids of their own: all distinct."""
     return table(s, d, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("article_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -230,6 +247,7 @@ QUERIES = {
         token_counts, vocab_df_filter, bm25f_postings, query_terms, bm25f_restricted, entity_boost, bm25f_topk, user_vector_pool, cosine_candidates, cosine_topk, entity_fusion,
         minmax_fusion, ranking_metrics, auc, mrr, ndcg, method_report, cold_warm_slices, head_tail_slices, diversity, novelty, coverage, recall_at_k, recall_report,
         bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid,
+        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole,
     )
 }
 

@@ -1,0 +1,27 @@
+"""Queries that do the whole job where a query of the same name has SQL of a part."""
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as e
+
+
+def _keyed(df, *cols):
+    return {(r.impression_id, r.pos): tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def test_candidates_of_all_splits(spark, sf):
+    q = e.queries()
+    every = _keyed(e.feature_queries.cands(spark, sf), "split")
+    assert {x for x, in every.values()} == {"train", "val", "test"}
+    for name, score in (("bm25f_restricted", "bm25_score"), ("entity_boost", "bm25_score"), ("cosine_candidates", "semantic_score")):
+        part, whole = (_keyed(q[n](spark, sf), "article_id", score) for n in (name, f"{name}_whole"))
+        assert whole.keys() == every.keys() and part.keys() < whole.keys()
+        assert all(whole[k][0] == x and abs(whole[k][1] - y) <= 2e-5 for k, (x, y) in part.items())
+        assert {every[k] for k, (_, y) in whole.items() if y} == set(every.values())
+
+
+def test_features_with_likeness(spark, sf):
+    sim = _keyed(e.queries()["cosine_candidates_whole"](spark, sf), "semantic_score")
+    f = e.queries()["candidate_features_whole"](spark, sf).withColumnRenamed("candidate_position", "pos")
+    got = _keyed(f, "history_embedding_sim")
+    assert got.keys() == sim.keys() and all(abs(got[k][0] - y) <= 2e-5 for k, (y,) in sim.items()) and any(y for y, in sim.values())
