@@ -91,6 +91,12 @@ def user_vector_pool(s: SparkSession, d: str) -> DataFrame:
     return u.select("impression_id", F.posexplode("user_vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 5).alias("x")).where("dim < 4")
 
 
+def user_vector_pool_whole(s: SparkSession, d: str) -> DataFrame:
+    """All dimensions."""
+    u = semantic.user_vectors(inter(s, d), vectors(s, d))
+    return u.select("impression_id", F.posexplode("user_vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 5).alias("x"))
+
+
 def _semantic(s: SparkSession, d: str) -> DataFrame:
     v = vectors(s, d)
     return semantic.score_candidates(_val(cands(s, d)), semantic.user_vectors(_val(inter(s, d)), v), v)
@@ -247,7 +253,7 @@ QUERIES = {
         token_counts, vocab_df_filter, bm25f_postings, query_terms, bm25f_restricted, entity_boost, bm25f_topk, user_vector_pool, cosine_candidates, cosine_topk, entity_fusion,
         minmax_fusion, ranking_metrics, auc, mrr, ndcg, method_report, cold_warm_slices, head_tail_slices, diversity, novelty, coverage, recall_at_k, recall_report,
         bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid,
-        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole,
+        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole, user_vector_pool_whole,
     )
 }
 

@@ -25,3 +25,9 @@ def test_features_with_likeness(spark, sf):
     f = e.queries()["candidate_features_whole"](spark, sf).withColumnRenamed("candidate_position", "pos")
     got = _keyed(f, "history_embedding_sim")
     assert got.keys() == sim.keys() and all(abs(got[k][0] - y) <= 2e-5 for k, (y,) in sim.items()) and any(y for y, in sim.values())
+
+
+def test_user_vectors_have_all_dimensions(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.size("embedding")).first()[0]
+    u = e.queries()["user_vector_pool_whole"](spark, sf).groupBy("impression_id").agg(F.count_distinct("dim").alias("n"), F.sum(F.col("x") * F.col("x")).alias("l")).collect()
+    assert u and all(r.n == n > 4 and abs(r.l - 1) < 1e-2 for r in u)
