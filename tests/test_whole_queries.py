@@ -31,3 +31,11 @@ def test_user_vectors_have_all_dimensions(spark, sf):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.size("embedding")).first()[0]
     u = e.queries()["user_vector_pool_whole"](spark, sf).groupBy("impression_id").agg(F.count_distinct("dim").alias("n"), F.sum(F.col("x") * F.col("x")).alias("l")).collect()
     assert u and all(r.n == n > 4 and abs(r.l - 1) < 1e-2 for r in u)
+
+
+def test_ablation_of_all_groups(spark, sf, monkeypatch):
+    lq = e.learning_queries
+    seen = []
+    monkeypatch.setattr(lq.learn, "ablation", lambda *a, **k: seen.append((a[2], k)) or spark.createDataFrame([], "variant string, mean double, drop double, lo double, hi double, n long, excludes_zero boolean"))
+    lq.feature_ablation(spark, sf)
+    assert seen == [(lq.GROUPS, {})] and [f for fs in seen[0][0].values() for f in fs] == list(lq.FEATURES)
