@@ -136,6 +136,18 @@ def entity_fusion(s: SparkSession, d: str) -> DataFrame:
     return f.join(F.broadcast(one)).select("vec_id", F.round(dot(F.col("f"), F.col("f0")), 5).alias("likeness"))
 
 
+def entity_fusion_whole(s: SparkSession, d: str) -> DataFrame:
+    """The fused vector of every article that has one: its own beside the mean of its entities'. The
+    crc32 of an entity's name modulo the number of vectors names its row of the embeddings table."""
+    a = arts(s, d)
+    t = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n, size = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    names = a.select(F.explode("entities").alias("entity_id")).distinct()
+    known = names.withColumn("vec_id", F.pmod(F.crc32(F.col("entity_id").cast("binary")), F.lit(n))).join(t, "vec_id").select("entity_id", "vec")
+    f = semantic.fused_vectors(vectors(s, d), semantic.entity_means(a, known, size or 0))
+    return f.select("article_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
 def latest(s: SparkSession, d: str) -> DataFrame:
     """Candidates of the scored table: one row per impression and article, NaN as NULL."""
     t = table(s, d, "candidate_features").where("split = 'val'").select("impression_id", F.col("candidate_article_id").alias("article_id"), "label", F.col("candidate_position").alias("pos"), *[number(F.col(m)).alias(m) for m in METHODS], "scored_at")
@@ -253,7 +265,7 @@ QUERIES = {
         token_counts, vocab_df_filter, bm25f_postings, query_terms, bm25f_restricted, entity_boost, bm25f_topk, user_vector_pool, cosine_candidates, cosine_topk, entity_fusion,
         minmax_fusion, ranking_metrics, auc, mrr, ndcg, method_report, cold_warm_slices, head_tail_slices, diversity, novelty, coverage, recall_at_k, recall_report,
         bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid,
-        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole, user_vector_pool_whole,
+        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole, user_vector_pool_whole, entity_fusion_whole,
     )
 }
 

@@ -39,3 +39,20 @@ def test_ablation_of_all_groups(spark, sf, monkeypatch):
     monkeypatch.setattr(lq.learn, "ablation", lambda *a, **k: seen.append((a[2], k)) or spark.createDataFrame([], "variant string, mean double, drop double, lo double, hi double, n long, excludes_zero boolean"))
     lq.feature_ablation(spark, sf)
     assert seen == [(lq.GROUPS, {})] and [f for fs in seen[0][0].values() for f in fs] == list(lq.FEATURES)
+
+
+def test_fused_vectors_of_articles(spark, sf):
+    import zlib
+
+    import numpy as np
+
+    emb = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    arts = {r.article_id: r.entities for r in e.retrieval_queries.arts(spark, sf).collect()}
+    own = {r.article_id: np.array(r.vec) for r in e.retrieval_queries.vectors(spark, sf).collect()}
+    got = {r.article_id: np.array(r.vec) for r in e.queries()["entity_fusion_whole"](spark, sf).collect()}
+    assert got.keys() == own.keys() and any(arts.values())
+    for a, v in own.items():
+        es = [emb[zlib.crc32(x.encode()) % len(emb)] for x in set(arts[a]) if x is not None]
+        m = np.mean(es, axis=0) if es else np.zeros(len(v))
+        want = np.concatenate([v / np.linalg.norm(v), m / (np.linalg.norm(m) or 1)])
+        assert np.allclose(got[a], want / np.linalg.norm(want), atol=1e-5)
