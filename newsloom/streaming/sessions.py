@@ -23,23 +23,22 @@ def feed_sessions(stream: DataFrame, table: SessionTable, user: str, event_id: s
     q.awaitTermination()
 
 
-def prior_clicks(stream: DataFrame, key: str = "user_id", time: str = "ts", click: str = "is_click") -> DataFrame:
-    """``key, time, prior`` for every event: clicks of its key before it in order of arrival. State is one
-    number per key."""
+def prior_clicks(stream: DataFrame, key: str = "user_id", time: str = "ts", click: str = "is_click", event_id: str = "event_id") -> DataFrame:
+    """``key, time, prior`` for every event: clicks of its key before it, micro-batches in order of arrival
+    and events of one in order of time and id. State is one number per key; a key's rows of one
+    micro-batch are held together, as they come in chunks that are in no order."""
     ship_package(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
     tkind = stream.schema[time].dataType.simpleString()
 
     def step(k, batches, state: GroupState):
         n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(time, kind="stable")
-            run = pdf[click].astype("int64").cumsum()
-            yield pd.DataFrame({key: pdf[key], time: pdf[time], "prior": n + run - pdf[click].astype("int64")})
-            n += int(run.iloc[-1]) if len(run) else 0
-        state.update((n,))
-
-    return stream.select(key, time, click).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} {tkind}, prior long", "n long", "append", GroupStateTimeout.NoTimeout)
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values([time, event_id], kind="stable")
+        run = pdf[click].astype("int64").cumsum()
+        state.update((n + int(run.iloc[-1]),))
+        yield pd.DataFrame({key: pdf[key], time: pdf[time], "prior": n + run - pdf[click].astype("int64")})
+
+    return stream.select(key, time, click, event_id).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} {tkind}, prior long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:

@@ -34,3 +34,19 @@ def test_prior_clicks_and_windows(spark, tmp_path):
     w = s.windowed_counts(st, late="0 minutes")
     out = s.run_to_table(w, f"file://{tmp_path}/win")
     assert {(r.event_type, r.n) for r in out.collect()} == {("click", 2), ("view", 2)}
+
+
+def test_prior_clicks_of_a_long_unsorted_user(spark, tmp_path):
+    import random
+
+    rows = [(i, i // 3, 1 + (i % 7 == 0), "click" if i % 2 else "view") for i in range(14_000)]  # three events a minute
+    random.Random(3).shuffle(rows)
+    p = f"file://{tmp_path}/ev"
+    _write(spark, p, rows)
+    st = s.read_events(spark, p, spark.read.parquet(p).schema).withColumn("is_click", F.col("event_type") == "click")
+    got = sorted((r.user_id, r.ts, r.prior) for r in s.run_to_table(s.prior_clicks(st), f"file://{tmp_path}/out").collect())
+    want, n = [], {1: 0, 2: 0}
+    for _, m, u, kind in sorted(rows):
+        want.append((u, T0 + timedelta(minutes=m), n[u]))
+        n[u] += kind == "click"
+    assert got == sorted(want)
