@@ -16,6 +16,9 @@ from newsloom.shared import first_rows, materialize, number
 
 N_BOOT = 200
 GRID_K1, GRID_B = (1.2, 1.5, 2.2), (0.6, 0.75, 0.9)
+#: the reference's draws and grid
+N_BOOT_WHOLE = 1000
+GRID_K1_WHOLE, GRID_B_WHOLE = (1.0, 1.2, 1.5, 1.8, 2.2), (0.3, 0.5, 0.75, 0.9)
 KS = (50, 100, 200)
 METHODS = ("bm25_score", "semantic_score", "fusion_score", "reranker_score")
 METRICS = ("auc", "mrr", "ndcg5", "ndcg10")
@@ -228,28 +231,48 @@ def recall_report(s: SparkSession, d: str) -> DataFrame:
     return m.select("k", "slice", "n", r6("recall"))
 
 
-def bootstrap_mean(s: SparkSession, d: str) -> DataFrame:
+def _mean_interval(s: SparkSession, d: str, draws: int) -> DataFrame:
     m = metrics.impression_metrics(_filled(s, d), "fusion_score")
-    return resample.mean_interval(m, "auc", n_boot=N_BOOT).select(r6("mean"), r6("lo"), r6("hi"), "n")
+    return resample.mean_interval(m, "auc", n_boot=draws).select(r6("mean"), r6("lo"), r6("hi"), "n")
 
 
-def bootstrap_paired_delta(s: SparkSession, d: str) -> DataFrame:
+def bootstrap_mean(s: SparkSession, d: str) -> DataFrame:
+    return _mean_interval(s, d, N_BOOT)
+
+
+def bootstrap_mean_whole(s: SparkSession, d: str) -> DataFrame:
+    return _mean_interval(s, d, N_BOOT_WHOLE)
+
+
+def _paired_delta(s: SparkSession, d: str, draws: int) -> DataFrame:
     f = materialize(_filled(s, d), "filled")
     a, b = (metrics.impression_metrics(f, m) for m in ("fusion_score", "reranker_score"))
-    return resample.paired_delta(a, b, "auc", n_boot=N_BOOT).select(r6("delta"), r6("lo"), r6("hi"), "n", "excludes_zero")
+    return resample.paired_delta(a, b, "auc", n_boot=draws).select(r6("delta"), r6("lo"), r6("hi"), "n", "excludes_zero")
+
+
+def bootstrap_paired_delta(s: SparkSession, d: str) -> DataFrame:
+    return _paired_delta(s, d, N_BOOT)
+
+
+def bootstrap_paired_delta_whole(s: SparkSession, d: str) -> DataFrame:
+    return _paired_delta(s, d, N_BOOT_WHOLE)
 
 
 def bootstrap_coverage(s: SparkSession, d: str) -> DataFrame:
     return resample.coverage_interval(_top10(s, d), arts(s, d), n_boot=N_BOOT).select(*map(r6, ("coverage", "lo", "hi")))
 
 
-def bm25_grid(s: SparkSession, d: str) -> DataFrame:
+def bootstrap_coverage_whole(s: SparkSession, d: str) -> DataFrame:
+    return resample.coverage_interval(_top10(s, d), arts(s, d), n_boot=N_BOOT_WHOLE).select(*map(r6, ("coverage", "lo", "hi")))
+
+
+def _grid(s: SparkSession, d: str, k1s: tuple, bs: tuple) -> DataFrame:
     """Mean AUC of every (k1, b): one index, one join, all grid points in the weight expression."""
     a, i, c = stored(s, d)
     i, c = _val(i), _val(c)
     stats = materialize(bm25f.field_stats(a), "bm25-stats")
     terms = materialize(bm25f.query_terms(i, a, vocab=stats.select("term").distinct()), "terms")
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in GRID_K1 for b in GRID_B]))
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in k1s for b in bs]))
     # The grid rides along as columns of the statistics, so it is a fixed factor of the index.
     g = stats.withColumn("g", grid).select("*", "g.k1", "g.b").drop("g")
     index = bm25f.weigh(g, Bm25f(), F.col("k1"), F.col("b"), ("k1", "b"))
@@ -259,6 +282,17 @@ def bm25_grid(s: SparkSession, d: str) -> DataFrame:
     return m.groupBy("k1", "b").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n")).select("k1", "b", r6("auc"), "n")
 
 
+def bm25_grid(s: SparkSession, d: str) -> DataFrame:
+    return _grid(s, d, GRID_K1, GRID_B)
+
+
+def bm25_grid_whole(s: SparkSession, d: str) -> DataFrame:
+    """The reference's grid; ``best`` marks the point of the highest mean AUC, of equal ones the first."""
+    g = materialize(_grid(s, d, GRID_K1_WHOLE, GRID_B_WHOLE), "grid")
+    top = g.agg(F.max_by(F.struct("k1", "b"), F.struct("auc", -F.col("k1"), -F.col("b"))).alias("top"))
+    return g.join(F.broadcast(top)).select("k1", "b", "auc", "n", F.coalesce(F.struct("k1", "b") == F.col("top"), F.lit(False)).alias("best"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -266,6 +300,7 @@ QUERIES = {
         minmax_fusion, ranking_metrics, auc, mrr, ndcg, method_report, cold_warm_slices, head_tail_slices, diversity, novelty, coverage, recall_at_k, recall_report,
         bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid,
         bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole, user_vector_pool_whole, entity_fusion_whole,
+        bootstrap_mean_whole, bootstrap_paired_delta_whole, bootstrap_coverage_whole, bm25_grid_whole,
     )
 }
 

@@ -56,3 +56,21 @@ def test_fused_vectors_of_articles(spark, sf):
         m = np.mean(es, axis=0) if es else np.zeros(len(v))
         want = np.concatenate([v / np.linalg.norm(v), m / (np.linalg.norm(m) or 1)])
         assert np.allclose(got[a], want / np.linalg.norm(want), atol=1e-5)
+
+
+def test_whole_grid_and_draws(spark, sf, monkeypatch):
+    q, rq, lq = e.queries(), e.retrieval_queries, e.learning_queries
+    g = {(r.k1, r.b): r for r in q["bm25_grid_whole"](spark, sf).collect()}
+    assert len(g) == 20 and [r.auc for r in g.values() if r.best] == [max(r.auc for r in g.values())]
+    for r in q["bm25_grid"](spark, sf).collect():
+        assert (r.k1, r.b) not in g or abs(g[r.k1, r.b].auc - r.auc) <= 2e-6
+    draws = []
+    for f in ("mean_interval", "paired_delta", "coverage_interval"):
+        monkeypatch.setattr(rq.resample, f, lambda *a, f=getattr(rq.resample, f), **k: draws.extend([k["n_boot"]] if k else []) or f(*a, **{x: 2 for x in k}))
+    for n in ("mean", "paired_delta", "coverage"):
+        q[f"bootstrap_{n}_whole"](spark, sf)
+    assert draws == [1000] * 3
+    sizes = []
+    monkeypatch.setattr(lq.semantic, "Lsa", lambda size, rounds, f=lq.semantic.Lsa: sizes.append(size) or f(2, 1))
+    q["lsa_neighbours"](spark, sf)
+    assert sizes == [128]
