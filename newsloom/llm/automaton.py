@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 
 class SuffixAutomaton:
@@ -59,42 +59,58 @@ class SuffixAutomaton:
         return out
 
 
-def repeated_lengths(tokens: Sequence[int], least: int = 1) -> list[int]:
-    """For each position the length of the longest substring that ends there and also occurs
-    elsewhere in the sequence; lengths below ``least`` may be given as 0.
+def repeated_lengths(tokens: Sequence[Hashable], least: int = 1, times: int = 2, weight: float = 0.0, alone: Callable[[Hashable, int], bool] | None = None) -> list[int]:
+    """For each position the length of the longest maximal repeat that ends there: of the longest
+    substring that occurs at least ``times`` times, whose occurrences together hold at least ``weight``
+    tokens; 0 if there is none. Lengths below ``least`` may be given as 0. A single token counts as
+    a substring only if ``alone(token, occurrences)`` holds (without it, always).
 
-    A token that occurs once is part of no repeat, so the automaton takes only runs of at least
-    ``least`` recurring tokens, each run behind a mark of its own.
+    A token is part of no such repeat if it is too rare: a repeat of at most ``longest`` tokens has at
+    least weight / longest occurrences, and so has each of its tokens. The automaton takes only the
+    runs of tokens that are left, each run behind a mark of its own.
     """
-    n = len(tokens)
-    out = [0] * n
+    out = [0] * len(tokens)
     count = Counter(tokens)
-    seq: list[int] = []
+    need, runs = times, [(0, len(tokens))]
+    while True:
+        runs = [(i, j) for i, j in _runs(tokens, runs, count, need) if j - i >= least and (j - i > 1 or alone is None or alone(tokens[i], count[tokens[i]]))]
+        longest = max((j - i for i, j in runs), default=0)
+        if not longest:
+            return out
+        if weight <= need * longest:
+            break
+        need = max(need + 1, int(weight / longest))
+    seq: list[Hashable] = []
     at: list[int] = []
-    i = 0
-    while i < n:
-        if count[tokens[i]] < 2:
-            i += 1
-            continue
-        j = i + 1
-        while j < n and count[tokens[j]] > 1:
-            j += 1
-        if j - i >= least:
-            seq.append(-1 - len(seq))
-            at.append(-1)
-            seq.extend(tokens[i:j])
-            at.extend(range(i, j))
-        i = j + 1
-    for k, length in zip(at, _link_lengths(seq)):
-        if k >= 0:
+    for k, (i, j) in enumerate(runs):
+        seq.append((None, k))
+        at.append(-1)
+        seq.extend(tokens[i:j])
+        at.extend(range(i, j))
+    for k, length in zip(at, _repeats(seq, times, weight, alone)):
+        if k >= 0 and length >= least:
             out[k] = length
     return out
 
 
-def _link_lengths(tokens: Sequence[int]) -> list[int]:
-    """For each position the length of the suffix link of the automaton's state there: of the longest
-    substring that ends there and also occurs elsewhere, given that the first token occurs once."""
-    length, link, step = [0], [-1], [{}]
+def _runs(tokens: Sequence[Hashable], within: list[tuple[int, int]], count: Counter, need: int) -> Iterator[tuple[int, int]]:
+    """Longest ranges inside the given ones whose tokens all occur at least ``need`` times."""
+    for i, end in within:
+        start = i
+        while i < end:
+            if count[tokens[i]] < need:
+                if i > start:
+                    yield start, i
+                start = i + 1
+            i += 1
+        if end > start:
+            yield start, end
+
+
+def _repeats(tokens: Sequence[Hashable], times: int, weight: float, alone: Callable[[Hashable, int], bool] | None) -> list[int]:
+    """The lengths for all positions, from the automaton of the whole sequence and the number of
+    occurrences of each state's substrings."""
+    length, link, step, occurs, token = [0], [-1], [{}], [0], [None]
     ends = []
     last = 0
     for t in tokens:
@@ -102,6 +118,8 @@ def _link_lengths(tokens: Sequence[int]) -> list[int]:
         length.append(length[last] + 1)
         link.append(0)
         step.append({})
+        occurs.append(1)
+        token.append(t)
         ends.append(new)
         p = last
         here = step[p]
@@ -121,9 +139,18 @@ def _link_lengths(tokens: Sequence[int]) -> list[int]:
                 length.append(n)
                 link.append(link[q])
                 step.append(step[q].copy())
+                occurs.append(0)
+                token.append(t)
                 link[q] = link[new] = c
                 while p >= 0 and step[p].get(t) == q:
                     step[p][t] = c
                     p = link[p]
         last = new
-    return [length[link[s]] for s in ends]
+    by_length = sorted(range(1, len(length)), key=length.__getitem__)
+    for s in reversed(by_length):
+        occurs[link[s]] += occurs[s]
+    held = [0] * len(length)
+    for s in by_length:
+        n, o = length[s], occurs[s]
+        held[s] = n if o >= times and o * n >= weight and (n > 1 or alone is None or alone(token[s], o)) else held[link[s]]
+    return [held[s] for s in ends]

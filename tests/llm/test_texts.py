@@ -11,6 +11,7 @@ from newsloom.llm.automaton import SuffixAutomaton, repeated_lengths
 from newsloom.llm.leaks import find_leaks, remove_leaks
 from newsloom.llm.normal import plain_words, words
 from newsloom.llm.packing import _Pool, pack, pack_sizes
+from newsloom.llm import stuffing as stuffing_module
 from newsloom.llm.stuffing import page_figures, stuffing
 from newsloom.llm.tokens import TOKENIZER_DIR, token_counts
 
@@ -78,6 +79,16 @@ def test_automaton():
             want.append(max(subs, default=0))
         assert repeated_lengths(t) == want
         assert [x * (x >= 3) for x in repeated_lengths(t, 3)] == [x * (x >= 3) for x in want]
+        times, weight, longer = r.choice([2, 3]), r.choice([0, 6, 15]), r.randrange(3)
+        alone = lambda w, o: w > longer
+        want = []
+        for e in range(len(t)):
+            held = [0]
+            for n in range(1, e + 2):
+                occurs = sum(t[k : k + n] == t[e - n + 1 : e + 1] for k in range(len(t) - n + 1))
+                held += [n] * (occurs >= times and occurs * n >= weight and (n > 1 or alone(t[e], occurs)))
+            want.append(max(held))
+        assert repeated_lengths(t, 1, times, weight, alone) == want
         sam = SuffixAutomaton()
         sam.add(t)
         sam.add(t[::-1])
@@ -161,6 +172,37 @@ def test_stuffing(spark):
     assert page_figures("lamp " * 100_000)["stuffed"] == 1.0
 
 
+PROSE = [
+    "Le maire de la ville a inauguré lundi le nouveau pont qui relie les deux rives du fleuve. Selon le conseil municipal, les travaux ont duré trois ans et coûté plus de douze millions d'euros. Les habitants espèrent que la circulation sera plus fluide, mais certains commerçants craignent de perdre leurs clients.",
+    "El alcalde inauguró el lunes el nuevo puente que une las dos orillas del río. Según el ayuntamiento, las obras duraron tres años y costaron más de doce millones de euros. Los vecinos esperan que el tráfico sea más fluido, aunque algunos comerciantes temen perder a sus clientes.",
+    "Borgmästaren invigde på måndagen den nya bron som förbinder de båda stränderna. Enligt kommunen tog arbetet tre år och kostade mer än tolv miljoner kronor. Invånarna hoppas att trafiken ska flyta bättre, men flera handlare är oroliga för att förlora sina kunder.",
+    "Kaupunginjohtaja vihki maanantaina käyttöön uuden sillan, joka yhdistää joen molemmat rannat. Kaupungin mukaan työt kestivät kolme vuotta ja maksoivat yli kaksitoista miljoonaa euroa. Asukkaat toivovat liikenteen sujuvan paremmin, mutta osa kauppiaista pelkää menettävänsä asiakkaita.",
+    "Мэр города в понедельник открыл новый мост, который соединяет два берега реки. По данным администрации, работы длились три года и стоили более двенадцати миллионов евро. Жители надеются, что движение станет свободнее, но некоторые торговцы боятся потерять покупателей.",
+    "市长星期一为连接两岸的新桥揭幕。据市政府介绍，工程历时三年，耗资超过一千二百万欧元。居民希望交通会更加顺畅，但一些商人担心失去顾客。",
+    "i went to the shop today and they told me that the thing i wanted was sold out so i went home again and had a cup of tea and then my sister called to say she would come over on sunday with the kids and we talked for a while about the garden and what to plant there in the spring",
+]
+
+
+def test_stuffing_asks_for_no_language():
+    for t in PROSE:
+        assert page_figures(t)["stuffed"] == 0, t
+        assert page_figures(t.replace(" ", "\xa0"))["stuffed"] == 0, t
+    for t in ("acheter montre pas cher montre homme montre femme prix montre solde montre pas cher ", "手表 便宜手表 买手表 手表价格 手表 折扣手表 最好手表 ", "купить часы, часы цена, часы скидка, недорого часы, "):
+        assert page_figures(t * 12)["stuffed"] > 0.5, t
+
+
+def test_stuffing_needs_coverage(spark, sf, monkeypatch):
+    """Clauses made of keywords are known by what the automaton covers, and by nothing else."""
+    clauses = ["Our lamp is the lamp for lamp lovers. Every lamp is a lamp that you can lamp. Is this the lamp of all the lamp in a lamp shop? " * 4, "buy best lamp now old lamp one lamp see lamp for all lamp buy " * 9]
+    texts = [r.text for r in spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet").select("text").collect()]
+    found = {k for k, t in enumerate(texts) if page_figures(t)["stuffed"] > 0.5}
+    assert all(page_figures(t)["stuffed"] > 0.5 for t in clauses)
+    monkeypatch.setattr(stuffing_module, "repeated_lengths", lambda toks, *a: [0] * len(toks))
+    assert all(page_figures(t)["stuffed"] <= 0.5 for t in clauses)
+    rest = {k for k, t in enumerate(texts) if page_figures(t)["stuffed"] > 0.5}
+    assert rest < found and len(found - rest) > 20
+
+
 def test_stuffing_repeated_passages():
     line = "Looking for best price on shoes in Berlin"
     for t in (f"{line}\n" * 20, f"{line.lower()}\n" * 20, f"{line}.\n" * 40, f"{line}\n{line} today\n" * 8):
