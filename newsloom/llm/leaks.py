@@ -4,23 +4,35 @@ Method: a generalised suffix automaton of the normalised test items. Training te
 through it word by word while the longest match is tracked; matches of at least ``min_words`` are
 reported with the items that hold them, and spans beyond the limits can be removed.
 
-The automaton is broadcast, so its size is bounded: items are taken in blocks of at most
-``block_words`` words, each block against all documents.
+A tag that touches letters on both sides may stand inside a word or between two. The automaton
+branches there: the states of both readings are carried on, for each tag by itself.
+
+The automaton is broadcast, so its size is bounded: items are dealt by their id to blocks of about
+``block_words`` words, executors build a block's automaton, and each block runs against all
+documents. With several blocks texts are normalised in each; what a block finds is stored before
+the next begins, and its automaton is removed from the executors.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.automaton import SuffixAutomaton
-from newsloom.llm.normal import has_tag_inside_word, plain_words, words
+from newsloom.llm.normal import fragments, has_tag_inside_word, normal, plain_words, words
 from newsloom.shared import materialize, ship_package
 
 BLOCK_WORDS = 200_000
+#: tags inside words of an item that are read both ways one by one; any beyond are read alike
+ITEM_TAGS = 8
+
+Span = tuple[int, int]
 
 
 class ItemAutomaton:
@@ -33,7 +45,7 @@ class ItemAutomaton:
         sam = SuffixAutomaton()
         owners: list[set[int]] = []
         for item, ws in items:
-            self.sizes[item] = len(ws)
+            self.sizes[item] = max(len(ws), self.sizes.get(item, 0))
             for s in sam.add([self.vocab.setdefault(w, len(self.vocab)) for w in ws]):
                 while len(owners) < len(sam.length):
                     owners.append(set())
@@ -45,6 +57,26 @@ class ItemAutomaton:
                 owners[sam.link[s]] |= owners[s]
         self.step, self.link, self.length = sam.step, sam.link, sam.length
         self.owners = [tuple(o) for o in owners]
+        self.longest_word = max(map(len, self.vocab), default=0)
+
+    def _next(self, s: int, n: int, t: int) -> tuple[int, int]:
+        """State and length of the longest match after token t."""
+        step, link = self.step, self.link
+        while s and t not in step[s]:
+            s = link[s]
+            n = self.length[s]
+        q = step[s].get(t)
+        return (0, 0) if q is None else (q, n + 1)
+
+    def _held(self, s: int, n: int) -> Iterator[tuple[int, int]]:
+        """Items that hold at least ``min_words`` words up to here, with their number of words."""
+        seen = set()
+        while s > 0 and self.length[s] >= self.min_words:
+            for item in self.owners[s]:
+                if item not in seen:
+                    seen.add(item)
+                    yield item, min(n, self.length[s])
+            s = self.link[s]
 
     def matches(self, ws: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Item to (end position, length of the longest match ending there), lengths >= min_words."""
@@ -62,73 +94,139 @@ class ItemAutomaton:
             while b < n and ws[b] in vocab:
                 b += 1
             if b - a >= least:
-                self._stream(ws, a, b, out)
+                s = m = 0
+                for e in range(a, b):
+                    s, m = self._next(s, m, vocab[ws[e]])
+                    if m >= least:
+                        for item, length in self._held(s, m):
+                            out.setdefault(item, []).append((e, length))
             k = b + least
         return out
 
-    def _stream(self, ws: list[str], a: int, b: int, out: dict[int, list[tuple[int, int]]]) -> None:
-        """Track the longest match over ws[a:b], all known words."""
-        step, link, length, owners, least, vocab = self.step, self.link, self.length, self.owners, self.min_words, self.vocab
-        s = n = 0
-        for k in range(a, b):
-            t = vocab[ws[k]]
-            while s and t not in step[s]:
-                s = link[s]
-                n = length[s]
-            q = step[s].get(t)
-            if q is None:
-                n = 0
-                continue
-            s = q
-            n += 1
-            if n >= least:
-                x, seen = s, set()
-                while x > 0 and length[x] >= least:
-                    for item in owners[x]:
-                        if item not in seen:
-                            seen.add(item)
-                            out.setdefault(item, []).append((k, min(n, length[x])))
-                    x = link[x]
-
-
-def _covered(hits: list[tuple[int, int]]) -> list[list[int]]:
-    """Disjoint word ranges [from, to) of matches that end in rising order."""
-    out: list[list[int]] = []
-    for end, n in hits:
-        a, b = end - n + 1, end + 1
-        while out and out[-1][1] >= a:
-            a = min(a, out.pop()[0])
-        out.append([a, b])
+    def branching(self, text: str) -> dict[int, tuple[int, list[Span]]]:
+        """Item to its longest match in words and the spans of its matches in the text, over every
+        reading of the tags inside words."""
+        out: dict[int, tuple[int, list[Span]]] = {}
+        # State and length to the places where the words of its match begin, the last one first.
+        live: dict[tuple[int, int], tuple | None] = {(0, 0): None}
+        for group in fragments(text):
+            at = [live]
+            for j in range(1, len(group) + 1):
+                here: dict[tuple[int, int], tuple | None] = {}
+                for i in range(j - 1, -1, -1):
+                    ws = normal("".join(f[0] for f in group[i:j]))
+                    if i < j - 1 and sum(map(len, ws)) > self.longest_word:
+                        break  # longer still with every fragment before
+                    for (s, n), path in at[i].items():
+                        for w in ws:
+                            t = self.vocab.get(w)
+                            s, n = (0, 0) if t is None else self._next(s, n, t)
+                            path = (group[i][1], path) if n else None
+                            if n >= self.min_words:
+                                self._note(out, s, n, path, group[j - 1][2])
+                        here.setdefault((s, n), path)
+                # No match is part of any other reading's state.
+                if len(here) > 1:
+                    here.pop((0, 0), None)
+                at.append(here)
+            live = at[-1]
+        return out
+
+    def _note(self, out: dict[int, tuple[int, list[Span]]], s: int, n: int, path: tuple | None, end: int) -> None:
+        starts = []
+        while path is not None and len(starts) < n:
+            starts.append(path[0])
+            path = path[1]
+        for item, length in self._held(s, n):
+            longest, spans = out.get(item, (0, []))
+            out[item] = (max(longest, length), [*spans, (starts[length - 1], end)])
+
+
+def _merged(spans: list[Span]) -> list[Span]:
+    """Disjoint spans [from, to) in order."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def _readings(text: str) -> Iterator[list[str]]:
-    """The words of a text; a second reading if a tag stands inside a word."""
-    yield plain_words(text)
-    if has_tag_inside_word(text):
-        yield plain_words(text, joined=True)
+def _inside(places: list[Span], spans: list[Span]) -> int:
+    """Number of places that lie within disjoint spans, both in order."""
+    n = k = 0
+    for a, b in places:
+        while k < len(spans) and spans[k][1] < b:
+            k += 1
+        n += k < len(spans) and spans[k][0] <= a
+    return n
 
 
-def _variants(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    yield words(text)
+def text_matches(auto: ItemAutomaton, text: str) -> dict[int, tuple[int, int, list[Span]]]:
+    """Item to its longest match in words, the words its matches cover and their spans. Words are
+    counted as parted by every tag, but the longest match as its reading has them."""
     if has_tag_inside_word(text):
-        yield words(text, joined=True)
+        found = auto.branching(text)
+        places = words(text)[1] if found else []
+        return {item: (longest, _inside(places, _merged(spans)), _merged(spans)) for item, (longest, spans) in found.items()}
+    hits = auto.matches(plain_words(text))
+    if not hits:
+        return {}
+    places = words(text)[1]
+    out = {}
+    for item, ends in hits.items():
+        ranges = _merged([(e - n + 1, e + 1) for e, n in ends])
+        out[item] = (max(n for _, n in ends), sum(b - a for a, b in ranges), [(places[a][0], places[b - 1][1]) for a, b in ranges])
+    return out
+
+
+def _item_readings(text: str) -> set[tuple[str, ...]]:
+    """The word sequences of an item, over the readings of the tags inside its words."""
+    if not has_tag_inside_word(text):
+        return {tuple(plain_words(text))}
+    groups = fragments(text)
+    tags = sum(len(g) - 1 for g in groups)
+    out = set()
+    for joins in product((False, True), repeat=min(tags, ITEM_TAGS)):
+        ws: list[str] = []
+        k = 0
+        for g in groups:
+            raw = g[0][0]
+            for f in g[1:]:
+                if joins[min(k, len(joins) - 1)]:
+                    raw += f[0]
+                else:
+                    ws += normal(raw)
+                    raw = f[0]
+                k += 1
+            ws += normal(raw)
+        out.add(tuple(ws))
+    return out
+
+
+def _automata(items: DataFrame, item_id: str, text: str, min_words: int, block_words: int) -> Iterator[Broadcast]:
+    """The automata of all blocks, one at a time: built on executors, stored, then broadcast."""
+    spark = items.sparkSession
+    kind = items.schema[item_id].dataType.simpleString()
+    src = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    blanks = F.length("t") - F.length(F.regexp_replace("t", r"\s+", "")) + 1
+    n = src.agg(F.sum(blanks)).first()[0] or 0
+    blocks = max(1, -(-n // block_words))
+
+    def build(key, pdf):
+        readings = sorted({(i, ws) for i, t in zip(pdf["i"], pdf["t"]) for ws in _item_readings(t) if len(ws) >= min_words})
+        made = [pickle.dumps(ItemAutomaton([(i, list(ws)) for i, ws in readings], min_words), protocol=5)] if readings else []
+        return pd.DataFrame({"block": [key[0]] * len(made), "automaton": made})
+
+    dealt = src.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    made = materialize(dealt.groupBy("block").applyInPandas(build, "block int, automaton binary"), "p8-automata")
+    for row in made.select("block").sort("block").collect():  # one number a block
+        yield spark.sparkContext.broadcast(bytes(made.where(F.col("block") == row["block"]).first()["automaton"]))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, min_words: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items in blocks of bounded size, streamed through the driver one at a time."""
-    block: list[tuple[int, list[str]]] = []
-    n = 0
-    for i, t in items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        versions = {tuple(ws) for ws in _readings(t) if len(ws) >= min_words}
-        for ws in versions:
-            if block and n + len(ws) > block_words:
-                yield block
-                block, n = [], 0
-            block.append((i, list(ws)))
-            n += len(ws)
-    if block:
-        yield block
+def _loaded(auto: Broadcast) -> ItemAutomaton:
+    return pickle.loads(auto.value)
 
 
 def find_leaks(
@@ -155,21 +253,18 @@ def find_leaks(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, longest_words int, covered_words int, item_share double"
     src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
     found: DataFrame | None = None
-    for block in _blocks(items, item_id, item_text, min_words, block_words):
-        auto = spark.sparkContext.broadcast(ItemAutomaton(block, min_words))
+    for auto in _automata(items, item_id, item_text, min_words, block_words):
 
         def run(batches, auto=auto):
-            a = auto.value
+            a = _loaded(auto)
             for pdf in batches:
                 rows = []
                 for d, t in zip(pdf["d"], pdf["t"]):
-                    for ws in _readings(t):
-                        for item, hits in a.matches(ws).items():
-                            longest = max(n for _, n in hits)
-                            rows.append((d, item, longest, sum(y - x for x, y in _covered(hits)), longest / a.sizes[item]))
+                    rows += [(d, item, longest, n, longest / a.sizes[item]) for item, (longest, n, _) in text_matches(a, t).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest_words", "covered_words", "item_share"])
 
-        part = src.mapInPandas(run, schema)
+        part = materialize(src.mapInPandas(run, schema), "p8-found")
+        auto.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
@@ -190,42 +285,46 @@ def remove_leaks(
     """``doc_id, text, removed_words, dropped``: spans of at least ``min_words`` matching words are cut
     from the text; a document covered by more than ``max_coverage`` is dropped (its text NULL).
 
-    Every row comes out, NULL texts as they are. Blocks of items are cut one after the other, each
-    from what the one before left. Other columns are ignored.
+    Every row comes out, NULL texts as they are. The spans of all items are found in the original
+    text, merged, and judged and cut once, whatever the size of the blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).alias("removed_words"), F.lit(False).alias("dropped"))
-    for block in _blocks(items, item_id, item_text, min_words, block_words):
-        auto = spark.sparkContext.broadcast(ItemAutomaton(block, min_words))
-
-        def cut(t: str, a: ItemAutomaton) -> tuple[str | None, int, bool]:
-            gone: list[tuple[int, int]] = []
-            lost = share = 0
-            for ws, spans in _variants(t):
-                hits = sorted(h for hs in a.matches(ws).values() for h in hs)
-                ranges = _covered(hits)
-                n = sum(y - x for x, y in ranges)
-                lost, share = max(lost, n), max(share, n / max(1, len(ws)))
-                gone += [(spans[x][0], spans[y - 1][1]) for x, y in ranges]
-            if not gone:
-                return t, 0, False
-            if share > max_coverage:
-                return None, lost, True
-            kept, at = [], 0
-            for a0, b0 in sorted(gone):
-                if a0 > at:
-                    kept.append(t[at:a0])
-                at = max(at, b0)
-            return "".join([*kept, t[at:]]), lost, False
-
-        def run(batches, auto=auto, cut=cut):
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), empty.alias("spans"))
+    for auto in _automata(items, item_id, item_text, min_words, block_words):
+
+        def run(batches, auto=auto):
+            a = _loaded(auto)
             for pdf in batches:
-                new = [(t, 0, False) if t is None else cut(t, auto.value) for t in pdf["text"]]
-                lost = pdf["removed_words"].to_numpy() + [x[1] for x in new]
-                gone = [bool(a) or b for a, (_, _, b) in zip(pdf["dropped"], new)]
-                yield pdf.assign(text=[x[0] for x in new], removed_words=lost, dropped=gone)
+                spans = []
+                for t, old in zip(pdf["text"], pdf["spans"]):
+                    new = [] if t is None else [s for _, _, ss in text_matches(a, t).values() for s in ss]
+                    spans.append([{"a": x, "b": y} for x, y in _merged([*((s["a"], s["b"]) for s in old), *new])])
+                yield pdf.assign(spans=spans)
+
+        out = materialize(out.mapInPandas(run, f"doc_id {kind}, text string, spans array<struct<a:int,b:int>>"), "p8-spans")
+        auto.destroy()
+
+    def cut(batches):
+        for pdf in batches:
+            new = [_cut(t, [(s["a"], s["b"]) for s in ss], max_coverage) for t, ss in zip(pdf["text"], pdf["spans"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [x[0] for x in new], "removed_words": [x[1] for x in new], "dropped": [x[2] for x in new]})
+
+    return out.mapInPandas(cut, f"doc_id {kind}, text string, removed_words int, dropped boolean")
+
 
-        out = out.mapInPandas(run, f"doc_id {kind}, text string, removed_words int, dropped boolean")
-    return materialize(out, "p8-clean")
+def _cut(text: str | None, spans: list[Span], max_coverage: float) -> tuple[str | None, int, bool]:
+    """The text without the spans, the number of words in them, and whether it is dropped."""
+    if text is None or not spans:
+        return text, 0, False
+    places = words(text)[1]
+    lost = _inside(places, spans)
+    if lost > max_coverage * len(places):
+        return None, lost, True
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return "".join([*kept, text[at:]]), lost, False

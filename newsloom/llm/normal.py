@@ -14,8 +14,6 @@ _TAG = r"<(?:!--.*?--|[/!?]?\p{L}[^<>]*)>"
 _CHAR = r"(?:[\p{L}\p{N}\p{M}\p{Cf}͏ᅟᅠ឴឵ㅤ︀-️]|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\p{L}{2,31}\d{0,2});)"
 #: a tag parts words
 SPLIT = regex.compile(f"{_TAG}|(?P<w>{_CHAR}+)", regex.S)
-#: a tag inside a word is skipped
-JOIN = regex.compile(f"(?P<w>{_CHAR}+(?:(?:{_TAG})+{_CHAR}+)*)|{_TAG}", regex.S)
 _INSIDE = regex.compile(f"{_CHAR}{_TAG}(?:{_TAG})*{_CHAR}", regex.S)
 _ANY_TAG = regex.compile(_TAG, regex.S)
 _UNSEEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵ㅤ︀-️]")
@@ -23,7 +21,7 @@ _RUN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
 @functools.lru_cache(maxsize=200_000)
-def _normal(raw: str) -> tuple[str, ...]:
+def normal(raw: str) -> tuple[str, ...]:
     if raw.isascii() and "&" not in raw and "<" not in raw:
         return (raw.lower(),)
     t = html.unescape(_ANY_TAG.sub("", raw))
@@ -31,32 +29,47 @@ def _normal(raw: str) -> tuple[str, ...]:
     return tuple(_RUN.findall(t))
 
 
-def words(text: str | None, joined: bool = False) -> tuple[list[str], list[tuple[int, int]]]:
-    """Normal words and their spans in the text. ``joined``: tags inside words are skipped."""
+def words(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
+    """Normal words and their spans in the text; a tag parts words."""
     out: list[str] = []
     spans: list[tuple[int, int]] = []
-    if not text:
-        return out, spans
-    for m in (JOIN if joined else SPLIT).finditer(text):
+    for m in SPLIT.finditer(text or ""):
         raw = m.group("w")
         if raw is not None:
-            for w in _normal(raw):
+            for w in normal(raw):
                 out.append(w)
                 spans.append(m.span("w"))
     return out, spans
 
 
+def fragments(text: str) -> list[list[tuple[str, int, int]]]:
+    """Runs of word characters with their spans, those parted by nothing but tags in one list: each
+    such tag may stand inside a word or between two."""
+    out: list[list[tuple[str, int, int]]] = []
+    end = -1  # where a fragment must begin to belong to the last list
+    for m in SPLIT.finditer(text):
+        if m.group("w") is None:
+            end = m.end() if m.start() == end else -1
+        elif m.start() == end:
+            out[-1].append((m.group(), *m.span()))
+            end = m.end()
+        else:
+            out.append([(m.group(), *m.span())])
+            end = m.end()
+    return out
+
+
 _ENTITY = regex.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\p{L}{2,31}\d{0,2});")
 _ASCII = re.compile("[a-z0-9]+")
 
 
-def plain_words(text: str | None, joined: bool = False) -> list[str]:
+def plain_words(text: str | None) -> list[str]:
     """The normal words alone, without spans: whole-text steps in place of a step per word."""
     if not text:
         return []
     t = text
     if "<" in t:
-        t = _ANY_TAG.sub("" if joined else " ", t)
+        t = _ANY_TAG.sub(" ", t)
     if "&" in t:
         t = _ENTITY.sub(lambda m: html.unescape(m.group()), t)
     if t.isascii():

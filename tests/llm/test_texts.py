@@ -1,7 +1,7 @@
 """Packing, leaks and stuffing, on small cases and against brute force."""
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.automaton import SuffixAutomaton, repeated_lengths
 from newsloom.llm.leaks import find_leaks, remove_leaks
-from newsloom.llm.normal import plain_words, words
+from newsloom.llm.normal import fragments, normal, plain_words, words
 from newsloom.llm.packing import _Pool, pack, pack_sizes
 from newsloom.llm import stuffing as stuffing_module
 from newsloom.llm.stuffing import page_figures, stuffing
@@ -110,7 +110,7 @@ def test_words(text, want):
     if want is not None:
         assert got == want
     else:
-        assert got == ["a", "b", "c"] and words(text, True)[0] == ["abc"] == plain_words(text, True)
+        assert got == ["a", "b", "c"] and [[f[0] for f in g] for g in fragments(text)] == [["a", "b", "c"]]
 
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen"
@@ -135,6 +135,24 @@ def test_leaks(spark):
     assert gone.text is None and gone.dropped
 
 
+def _readings(text):
+    """Every word sequence of a text over the readings of all tags between letters."""
+    out = [[]]
+    for g in fragments(text or ""):
+        ways = []
+        for joins in product((False, True), repeat=len(g) - 1):
+            raws = [g[0][0]]
+            for join, f in zip(joins, g[1:]):
+                raws[-1:] = [raws[-1] + f[0]] if join else [raws[-1], f[0]]
+            ways.append([w for r in raws for w in normal(r)])
+        out = [x + w for x in out for w in ways]
+    return out
+
+
+def _windows(text, index, n=12):
+    return {i for w in _readings(text) for k in range(len(w) - n + 1) for i in index.get(tuple(w[k : k + n]), ())}
+
+
 def test_leaks_against_all_windows(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "eval_items"))
     index = {}
@@ -142,14 +160,47 @@ def test_leaks_against_all_windows(spark, sf):
         w = plain_words(r.text)
         for k in range(len(w) - 11):
             index.setdefault(tuple(w[k : k + 12]), set()).add(r.item_id)
-    want = set()
-    for r in docs.collect():
-        for joined in (False, True):
-            w = plain_words(r.text, joined)
-            want |= {(r.doc_id, x) for k in range(len(w) - 11) for x in index.get(tuple(w[k : k + 12]), ())}
+    want = {(r.doc_id, x) for r in docs.collect() for x in _windows(r.text, index)}
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == want and want
 
 
+def test_every_tag_is_read_both_ways(spark):
+    r = random.Random(5)
+    names = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    items = [(1, " ".join(names)), (2, " ".join(names[::-1])), (3, "th ree " + " ".join(names[3:]))]
+    index = {}
+    for i, t in items:
+        w = plain_words(t)
+        for k in range(len(w) - 5):
+            index.setdefault(tuple(w[k : k + 6]), set()).add(i)
+    docs = [(0, "x " + " ".join(names).replace("three", "th<b>r</b>ee").replace("nine ten", "nine<br>ten") + " y")]
+    for d in range(1, 120):
+        t = " ".join(r.choice((names, names[::-1]))[r.randrange(6) :][: r.randrange(4, 12)])
+        for _ in range(r.randrange(1, 6)):
+            k = r.randrange(len(t))
+            t = t[:k] + "<i>" + t[k + (t[k] == " ") :]
+        docs.append((d, t))
+    want = {(d, i) for d, t in docs for i in _windows(t, index, 6)}
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(d, i, min_words=6).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len({x for x, _ in want}) > 60 and (0, 1) in want
+    assert next(x for x in got if (x.doc_id, x.item_id) == (0, 1)).longest_words == 14
+    # The item may hold such tags as well.
+    tagged = spark.createDataFrame([(9, docs[0][1])], "item_id long, text string")
+    assert [x.doc_id for x in find_leaks(spark.createDataFrame([(4, " ".join(names))], "doc_id long, text string"), tagged).collect()] == [4]
+
+
+def test_removal_asks_for_no_block_size(spark):
+    a, b, own = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    items = spark.createDataFrame([(1, a), (2, b), (3, "a5 " + " ".join(f"z{k}" for k in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{a} {own} c30 c31 {b}"), (2, f"{a}. {own}, {own}"), (3, None), (None, a)], "doc_id long, text string")
+    seen = []
+    for block in (200_000, 30, 5):
+        rows = sorted(remove_leaks(docs, items, block_words=block).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+        seen.append([tuple(r) for r in rows])
+    assert seen[0] == seen[1] == seen[2] == [(1, None, 60, True), (2, f". {own}, {own}", 30, False), (3, None, 0, False), (None, None, 30, True)]
+
+
 NEWS = "The mayor of Olsgard opened the new bridge on Monday, and the baker called it a fine day. According to the council, the road will need more money before it can be used by lorries. "
 STUFFED = [
     "buy lamp, cheap lamp, best lamp, lamp deal, lamp outlet, " * 8, "http://a.example/x\nhttp://b.example/y\nwww.c.test/z\n" * 6, "[best wig](https://a.test/w) [cheap wig](https://b.test/w) " * 6,
