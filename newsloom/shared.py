@@ -126,3 +126,14 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def may_match(df: DataFrame, others: DataFrame, keys: list[str], words: int = 1 << 19) -> DataFrame:
+    """The rows of ``df`` whose keys may stand in ``others``: all that do, and few others. A bitmap of
+    64 * ``words`` hashes is broadcast, of fixed size (8 MB) whatever the size of ``others``; so rows are
+    sifted before a shuffle and the exact join comes after it. NULL keys count like any other."""
+    h = F.pmod(F.xxhash64(*keys), F.lit(words * 64))
+    bit = F.expr("shiftleft(1L, CAST(`__h` & 63 AS INT))")
+    bits = others.select(h.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    sifted = df.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(bits), "__w")
+    return sifted.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__h", "__w", "__bits")
