@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.shared import drop_path, may_match, new_path, number, store
+from newsloom.shared import BROADCAST_ROWS, drop_path, may_match, new_path, number, store
 
 PER_OCTAVE = 16
 #: bits by which a bin is cut at each level, and the level whose bins hold single values
 LEVEL_BITS, LAST_LEVEL = 12, 4
 #: bins of at most so many rows are counted by value at once
 FEW_ROWS = 4096
-#: at most so many open bins or keys are broadcast
-BROADCAST_ROWS = 200_000
 
 
 def _log_bin(v: Column) -> Column:

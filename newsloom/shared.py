@@ -18,6 +18,9 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: at most so many rows of a table of keys are broadcast
+BROADCAST_ROWS = 200_000
+
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _MADE: dict[str, list[str]] = {}
@@ -137,3 +140,12 @@ def may_match(df: DataFrame, others: DataFrame, keys: list[str], words: int = 1
     bits = others.select(h.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
     sifted = df.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(bits), "__w")
     return sifted.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__h", "__w", "__bits")
+
+
+def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], how: str, by: str, broadcast_rows: int = BROADCAST_ROWS, pieces: int = 256) -> DataFrame:
+    """Join rows of any skew with a stored table of distinct keys: by broadcast while the table has at
+    most ``broadcast_rows`` rows, else in ``pieces`` that part the rows of a key by the column ``by``."""
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), keys, how)
+    parted = rows.withColumn("__piece", F.pmod(F.xxhash64(by), F.lit(pieces)).cast("int"))
+    return parted.join(table.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))), [*keys, "__piece"], how).drop("__piece")
