@@ -7,25 +7,25 @@ The rank of an item is the number of items of its group with a score at least as
 share their worst rank, and rank 1 means strictly the highest. An item without a score gets no
 rank and nothing from that score.
 
-Groups with more than 1/2000 of all rows (at most 2000 by construction, and less than one core's
-share of the work) are ranked apart: distinct values are counted first, cut into bands at each
-group's own quantiles, and ranked by band offsets, so no task holds a whole group. Their final
-order comes from a range-partitioned sort with partition offsets.
+Groups of more than ``group_rows`` rows, a fixed number that one task can sort, are ranked apart.
+Their rows are sorted by range, ties parted by item, and places follow from the place in the partition
+and the sizes of the partitions before. A value's rank is its last place; values are joined back to
+the rows, those of many rows by broadcast, rows without a value beside the join. No task holds a
+whole group, or all rows of one value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.topn import latest_scores
-from newsloom.shared import drop_path, new_path, store
+from newsloom.shared import BROADCAST_ROWS, join_keys, materialize
 
-HOT_SHARE = 2000
-BANDS = 32
+GROUP_ROWS = 100_000
 
 
 def _order() -> list:
@@ -45,33 +45,40 @@ def _small_groups(d: DataFrame, n: int, k: int) -> DataFrame:
     return _fuse(d, n, k).withColumn("position", F.row_number().over(W.partitionBy("g").orderBy(*_order())).cast("long"))
 
 
-def _hot_ranks(d: DataFrame, j: int) -> DataFrame:
-    """(g, s_j, r_j) for every distinct value of every hot group."""
-    s = F.col(f"s{j}")
-    vals = d.where(s.isNotNull()).groupBy("g", s.alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = d.where(s.isNotNull()).groupBy("g").agg(F.percentile_approx(s, [i / BANDS for i in range(1, BANDS)], 1000).alias("cuts"))
-    banded = vals.join(F.broadcast(cuts), "g").withColumn("b", F.size(F.filter("cuts", lambda c: c > F.col("s")))).drop("cuts")
-    per = banded.groupBy("g", "b").agg(F.sum("c").alias("bc"))
-    before = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offs = per.select("g", "b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))  # at most 2000 x 33 rows
-    inside = W.partitionBy("g", "b").orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return banded.join(F.broadcast(offs), ["g", "b"]).select("g", F.col("s").alias(f"s{j}"), (F.col("off") + F.sum("c").over(inside)).alias(f"r{j}"))
-
-
-def _hot_groups(d: DataFrame, n: int, k: int, keep) -> DataFrame:
-    tops = d.groupBy("g").agg(F.max("plain_sum").alias("top_sum"))
-    ranked = d.join(F.broadcast(tops), "g")
-    for j in range(n):
-        ranked = ranked.join(_hot_ranks(d, j), ["g", f"s{j}"], "left")
-    fused = keep(_fuse(ranked, n, k), "p3-hot")
-    by_range = fused.repartitionByRange("g", *_order()).sortWithinPartitions("g", *_order())
+def _places(d: DataFrame, order: list[Column], parts: int, broadcast_rows: int) -> DataFrame:
+    """Adds ``place``, from 1 in the given order within each group, by a sort over ``parts`` ranges."""
+    by_range = d.repartitionByRange(parts, "g", *order).sortWithinPartitions("g", *order)
     # The generated id holds the partition above bit 33 and the place in the partition below.
-    run = keep(by_range.withColumn("__m", F.monotonically_increasing_id()), "p3-hot-sorted")
-    run = run.withColumn("__p", F.shiftright("__m", 33))
-    starts = run.groupBy("g", "__p").agg(F.min("__m").alias("lo"), F.count(F.lit(1)).alias("c"))
-    before = W.partitionBy("g").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("g", "__p", "lo", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))  # hot groups + partitions
-    return run.join(F.broadcast(starts), ["g", "__p"]).withColumn("position", F.col("__m") - F.col("lo") + F.col("off") + 1).drop("__m", "__p", "lo", "off")
+    run = materialize(by_range.withColumn("__m", F.monotonically_increasing_id()), "p3-sorted").withColumn("__p", F.shiftright("__m", 33))
+    starts = run.groupBy("g", "__p").agg(F.min("__m").alias("__lo"), F.count(F.lit(1)).alias("__c"))
+    before = W.partitionBy("g").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    starts = materialize(starts.select("g", "__p", "__lo", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off")), "p3-starts")
+    at = join_keys(run, starts, ["g", "__p"], "inner", "i", broadcast_rows)
+    return at.withColumn("place", F.col("__m") - F.col("__lo") + F.col("__off") + 1).drop("__m", "__p", "__lo", "__off")
+
+
+def _with_rank(d: DataFrame, j: int, parts: int, group_rows: int, broadcast_rows: int) -> DataFrame:
+    """Adds ``r_j``: the last place of the row's value in its group."""
+    s = f"s{j}"
+    placed = _places(d.where(F.col(s).isNotNull()).select("g", "i", s), [F.col(s).desc(), F.col("i")], parts, broadcast_rows)
+    ranks = materialize(placed.groupBy("g", s).agg(F.max("place").alias("__r"), F.count(F.lit(1)).alias("__c")), "p3-ranks")
+    often = materialize(ranks.where(F.col("__c") > group_rows).select("g", s, F.col("__r").alias("__often")), "p3-often")
+    d = join_keys(d, often, ["g", s], "left", "i", broadcast_rows)
+    # Rows that need no partner in the second join are spread over its tasks.
+    aside = F.col(s).isNull() | F.col("__often").isNotNull()
+    d = d.withColumn("__aside", F.when(aside, F.pmod(F.xxhash64("i"), F.lit(4096)) + 1).otherwise(F.lit(0)))
+    rest = ranks.where(F.col("__c") <= group_rows).select("g", s, "__r", F.lit(0).cast("long").alias("__aside"))
+    return d.join(rest, ["g", s, "__aside"], "left").withColumn(f"r{j}", F.coalesce("__often", "__r")).drop("__often", "__r", "__aside")
+
+
+def _large_groups(d: DataFrame, n: int, k: int, rows: int, group_rows: int, broadcast_rows: int) -> DataFrame:
+    parts = -(-rows // group_rows)
+    tops = materialize(d.groupBy("g").agg(F.max("plain_sum").alias("top_sum")), "p3-tops")
+    ranked = join_keys(d, tops, ["g"], "inner", "i", broadcast_rows)
+    for j in range(n):
+        ranked = _with_rank(ranked, j, parts, group_rows, broadcast_rows)
+    fused = materialize(_fuse(ranked, n, k), "p3-large")
+    return _places(fused, _order(), parts, broadcast_rows).withColumnRenamed("place", "position")
 
 
 def reciprocal_rank_fusion(
@@ -82,37 +89,29 @@ def reciprocal_rank_fusion(
     position: str | None = None,
     version: str | None = None,
     k: int = 60,
-    hot_rows: int = 1_000,
+    group_rows: int = GROUP_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``group, item, rank_<score>..., rrf_score, position, plain_sum, top_sum``, one row per item.
 
     ``position`` orders the group by the fused score; ties go by the given position (NULL last),
     then by item. ``plain_sum`` adds the scores (missing ones as 0), ``top_sum`` is the greatest in
     the group. NULL and NaN are missing. With ``version`` only the latest row of an item counts.
-    Rows without group or item drop out. ``hot_rows`` is the least size of a hot group. Other
-    columns are ignored, whatever their names.
+    Rows without group or item drop out. ``group_rows`` is the size up to which a group is ranked in
+    one task. Other columns are ignored, whatever their names.
     """
-    spark = df.sparkSession
-    paths: list[str] = []
-
-    def keep(d: DataFrame, name: str) -> DataFrame:
-        paths.append(new_path(spark, name))
-        return store(d, paths[-1])
-
     n = len(scores)
     rows = latest_scores(df, group, item, {f"s{j}": c for j, c in enumerate(scores)}, version, position)
-    rows = keep(rows.withColumn("plain_sum", sum((F.coalesce(f"s{j}", F.lit(0.0)) for j in range(n)), F.lit(0.0))), "p3-rows")
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    total = rows.count()
-    limit = max(hot_rows, total // HOT_SHARE)
-    hot = [r[0] for r in sizes.where(F.col("c") > limit).select("g").collect()]  # at most 2000
-    parts = []
-    if hot:
-        ids = F.broadcast(spark.createDataFrame([(h,) for h in hot], rows.select("g").schema))
-        parts.append(_small_groups(rows.join(ids, "g", "left_anti"), n, k))
-        parts.append(_hot_groups(keep(rows.join(ids, "g", "left_semi"), "p3-hot-rows"), n, k, keep))
+    rows = materialize(rows.withColumn("plain_sum", sum((F.coalesce(f"s{j}", F.lit(0.0)) for j in range(n)), F.lit(0.0))), "p3-rows")
+    large = materialize(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows), "p3-groups")
+    in_large = large.agg(F.sum("c")).first()[0] or 0
+    if in_large:
+        ids = large.select("g")
+        small = _small_groups(join_keys(rows, ids, ["g"], "left_anti", "i", broadcast_rows), n, k)
+        d = materialize(join_keys(rows, ids, ["g"], "left_semi", "i", broadcast_rows), "p3-large-rows")
+        parts = [small, _large_groups(d, n, k, in_large, group_rows, broadcast_rows)]
     else:
-        parts.append(_small_groups(rows, n, k))
+        parts = [_small_groups(rows, n, k)]
     names = [F.col(f"r{j}").alias(f"rank_{c}") for j, c in enumerate(scores)]
     cols = [F.col("g").alias(group), F.col("i").alias(item), *names, F.col("rrf").alias("rrf_score"), "position", "plain_sum", "top_sum"]
     out = parts[0].select(*cols)
