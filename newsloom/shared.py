@@ -15,6 +15,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,36 @@ def write_bytes(spark: SparkSession, path: str, data: bytes):
     return p, fs
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if there is none."""
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a file that must not exist yet, in one rename; False if another writer came first."""
+    jvm = spark.sparkContext._jvm
+    tmp, fs = write_bytes(spark, f"{path}.{uuid.uuid4().hex[:12]}.tmp", data)
+    dst, _ = hadoop_path(spark, path)
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        fc.rename(tmp, dst, opts)
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if fs.exists(dst):
+            return False
+        raise e
+    return True
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package; once for each application."""
     app = spark.sparkContext.applicationId

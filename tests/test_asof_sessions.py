@@ -5,8 +5,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import sessions
 from newsloom.operators.asof import known_attributes, known_versions
 from newsloom.operators.sessions import SessionTable, sessions_from_log
+from newsloom.shared import hadoop_path
 
 T0 = datetime(2031, 1, 1)
 EV = "impression_id long, impression_time timestamp_ntz, user_id long, article_id string, version_id int"
@@ -115,3 +117,63 @@ def test_batches_of_one_week_far_apart(spark):
     for xs in ([(1, 1, 0), (1, 2, 10)], [(1, 3, 600), (2, 4, 610)], [(1, 5, 300)]):  # the last falls between stored sessions
         t.apply(spark.createDataFrame([(u, i, T0 + timedelta(minutes=m), None) for u, i, m in xs], SC), *cols)
     assert _seen(t.read()) == [(1, 1, 2, 2), (1, 3, 3, 1), (1, 5, 5, 1), (2, 4, 4, 1)]
+
+
+def _batch(spark, xs):
+    return spark.createDataFrame([(u, i, T0 + timedelta(minutes=m), None) for u, i, m in xs], SC)
+
+
+COLS = ("user_id", "impression_id", "impression_time")
+
+
+def test_a_batch_reads_only_what_it_can_reach(spark):
+    week = 7 * 24 * 60
+    t = SessionTable(spark, buckets=4)
+    t.apply(_batch(spark, [(u, 100 * w + u, w * week + u) for w in range(12) for u in range(20)]), *COLS)
+    files = {s["path"] for bs in t._manifest()["sessions"].values() for s in bs.values()}
+    did = t.apply(_batch(spark, [(3, 9001, 5 * week + 10), (3, 503, 5 * week + 3)]), *COLS)
+    assert len(files) > 40 and len(did["read"]) == len(did["written"]) == 1
+    assert (files - {s["path"] for bs in t._manifest()["sessions"].values() for s in bs.values()}) == set(did["read"])
+    got = t.read().where("user_id = 3").orderBy("session_start").collect()
+    assert len(got) == 12 and [r.n_impressions for r in got] == [1] * 5 + [2] + [1] * 6
+
+
+def test_two_writers_lose_nothing(spark):
+    t = SessionTable(spark)
+    t.apply(_batch(spark, [(1, 1, 0)]), *COLS)
+    publish, other = t._publish, SessionTable(spark, t.path)
+
+    def late(m):
+        t._publish = publish
+        other.apply(_batch(spark, [(1, 2, 20), (2, 3, 5)]), *COLS)
+        return publish(m)
+
+    t._publish = late
+    t.apply(_batch(spark, [(1, 4, 40)]), *COLS)
+    assert _seen(t.read()) == [(1, 1, 4, 3), (2, 3, 3, 1)] and t._version() == 3
+
+
+def test_old_files_go_and_files_of_ids_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "MANY_FILES", 2)
+    t = SessionTable(spark)
+    for k in range(6):
+        t.apply(_batch(spark, [(1, k, k), (1, max(k - 1, 0), max(k - 1, 0))]), *COLS)
+    assert _seen(t.read()) == [(1, 0, 5, 6)]
+    p, fs = hadoop_path(spark, t.path)
+    names = [f.getPath().toString() for f in fs.listStatus(p)]
+    assert sum("manifest-" in n for n in names) == 2
+    files = set()
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        files.add(it.next().getPath().toString())
+    kept = t._paths(t._manifest()) | t._paths(t._manifest(5))
+    assert sum("/sessions/" in f and f.endswith(".parquet") for f in files) == 2 and len(kept) < 8
+
+
+def test_copies_with_other_times(spark):
+    week = 7 * 24 * 60
+    for same_time, n in ((True, 2), (False, 1)):
+        t = SessionTable(spark, same_time=same_time)
+        t.apply(_batch(spark, [(1, 1, 0)]), *COLS)
+        t.apply(_batch(spark, [(1, 1, 2 * week)]), *COLS)
+        assert t.read().count() == n
