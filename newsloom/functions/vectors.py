@@ -1,12 +1,16 @@
-"""Vector expressions over array<double>; all run inside the JVM."""
+"""Vector expressions over array<double> inside the JVM, and sums of lists of vectors in Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.shared import ship_package
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -35,3 +39,32 @@ def fuse(content: Column, entity: Column, weight: float = 1.0) -> Column:
     """Unit content and weighted unit entity block side by side, as a unit vector. A zero entity
     block changes no cosine."""
     return unit(F.concat(unit(content), scale(unit(entity), F.lit(weight))))
+
+
+def reduce_lists(rows: DataFrame, key: str, size_bound: str, out: str, kind: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
+    """``key, out`` of rows (key, ord, w, vec): each key's vectors, in order of ``ord``, go to ``fn`` as
+    weights, a matrix and the first row of every key, all keys of an Arrow batch at once. A key's vectors
+    are held together, so their number must be bounded: ``size_bound`` says by what."""
+    assert size_bound
+    ship_package(rows.sparkSession)
+    t = rows.schema[key].dataType.simpleString()
+    z = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("w").cast("double").alias("w"), F.col("vec").cast("array<double>").alias("vec")))).alias("z"))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            starts = np.asarray(lists.offsets)
+            flat = lists.flatten()
+            w = flat.field("w").to_numpy(zero_copy_only=False)
+            m = flat.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), fn(w, m, starts[:-1] - starts[0])], names=[key, out])
+
+    return z.mapInArrow(run, f"{key} {t}, {out} {kind}")
+
+
+def as_lists(m: np.ndarray) -> pa.Array:
+    """A matrix as an array of lists."""
+    n, d = m.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), m.ravel())

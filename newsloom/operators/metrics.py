@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions.vectors import reduce_lists
+
 
 def impression_metrics(df: DataFrame, score: str, keys: tuple[str, ...] = ("impression_id",)) -> DataFrame:
     """``auc, mrr, ndcg5, ndcg10`` per group of (keys). Needs label, pos and the score.
@@ -33,21 +37,25 @@ def impression_metrics(df: DataFrame, score: str, keys: tuple[str, ...] = ("impr
     )
 
 
-def diversity(top: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``impression_id, diversity``: 1 - mean pairwise cosine of the listed articles' unit vectors, from
-    sums of vectors (no pairs); NULL for fewer than two known articles."""
-    e = top.select("impression_id", "pos", "article_id").join(vectors.select("article_id", F.posexplode("vec").alias("d", "x")), "article_id")
-    g = e.groupBy("impression_id", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
-    h = g.groupBy("impression_id").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.max("n").alias("n"))
-    two = F.col("n") >= 2
-    return h.select("impression_id", F.when(two, 1.0 - (F.col("ss") - F.col("qq")) / F.when(two, F.col("n") * (F.col("n") - 1))).alias("diversity"))
+def diversity(top: DataFrame, vectors: DataFrame, keys: tuple[str, ...] = ("impression_id",)) -> DataFrame:
+    """``keys, diversity``: 1 - mean pairwise cosine of the listed articles' unit vectors, from sums of
+    vectors (no pairs); NULL for fewer than two known articles. A list brings at most its own length."""
+    e = top.select(F.struct(*keys).alias("k"), F.col("pos").alias("ord"), "article_id").join(vectors.select("article_id", "vec"), "article_id")
+
+    def spread(w: np.ndarray, m: np.ndarray, first: np.ndarray) -> pa.Array:
+        n = np.add.reduceat(w, first)
+        total = (np.add.reduceat(m, first) ** 2).sum(1) - np.add.reduceat((m * m).sum(1), first)
+        return pa.array(1.0 - total / np.where(n > 1, n * (n - 1), 1.0), mask=n < 2)
+
+    out = reduce_lists(e.select("k", "ord", F.lit(1.0).alias("w"), "vec"), "k", "length of a list", "diversity", "double", spread)
+    return out.select(*[F.col(f"k.{c}").alias(c) for c in keys], "diversity")
 
 
-def novelty(top: DataFrame, pop: DataFrame) -> DataFrame:
-    """``impression_id, novelty``: mean of -log2 p; an unknown article has the least probability."""
+def novelty(top: DataFrame, pop: DataFrame, keys: tuple[str, ...] = ("impression_id",)) -> DataFrame:
+    """``keys, novelty``: mean of -log2 p; an unknown article has the least probability."""
     floor = pop.agg(F.min("p").alias("p0"))
     j = top.join(pop, "article_id", "left").join(F.broadcast(floor))
-    return j.groupBy("impression_id").agg(F.avg(-F.log2(F.coalesce("p", "p0"))).alias("novelty"))
+    return j.groupBy(*keys).agg(F.avg(-F.log2(F.coalesce("p", "p0"))).alias("novelty"))
 
 
 def coverage(top: DataFrame, arts: DataFrame) -> DataFrame:

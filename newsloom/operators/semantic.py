@@ -6,22 +6,28 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_text, tokens
-from newsloom.functions.vectors import dot, fuse, unit
+from newsloom.functions.vectors import as_lists, dot, fuse, reduce_lists, unit
 from newsloom.operators.history import DECAY, RECENT, recent_weights
 from newsloom.shared import materialize, ship_package
+from newsloom.sources import sinks
+
+
+def _unit_means(w: np.ndarray, m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    mean = np.add.reduceat(m * w[:, None], first) / np.add.reduceat(w, first)[:, None]
+    length = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(length > 1e-12, length, 1.0)
 
 
 def user_vectors(inter: DataFrame, vectors: DataFrame, n: int = RECENT, decay: float = DECAY) -> DataFrame:
     """``impression_id, user_vec``: unit vector of the weighted mean over the recent history's known
-    articles; impressions without any give no row. Partial sums merge per dimension."""
-    h = recent_weights(inter, n, decay).join(vectors.select("article_id", F.posexplode("vec").alias("d", "x")), "article_id")
-    g = h.groupBy("impression_id", "d").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("m"))
-    return g.groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("z")).select("impression_id", unit(F.transform("z", lambda s: s["m"])).alias("user_vec"))
+    articles; impressions without any give no row. An impression brings at most n vectors."""
+    h = recent_weights(inter, n, decay).join(vectors.select("article_id", "vec"), "article_id").select("impression_id", F.col("hpos").alias("ord"), F.col("weight").alias("w"), "vec")
+    return reduce_lists(h, "impression_id", "recent history", "user_vec", "array<double>", lambda w, m, first: as_lists(_unit_means(w, m, first)))
 
 
 def score_candidates(cands: DataFrame, users: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -63,10 +69,10 @@ def search_top(users: DataFrame, vectors: DataFrame, k: int, block: int = 4096)
 
 def entity_means(arts: DataFrame, entity_vecs: DataFrame, size: int) -> DataFrame:
     """``article_id, evec``: mean vector of an article's known entities, zeros if none."""
-    e = arts.select("article_id", F.explode(F.array_distinct("entities")).alias("entity_id")).join(entity_vecs.select("entity_id", F.posexplode("vec").alias("d", "x")), "entity_id")
-    g = e.groupBy("article_id", "d").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("z"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    return arts.select("article_id").join(g, "article_id", "left").select("article_id", F.coalesce(F.transform("z", lambda s: s["m"]), zero).alias("evec"))
+    e = arts.select("article_id", F.explode(F.array_distinct("entities")).alias("entity_id")).join(entity_vecs.select("entity_id", "vec"), "entity_id")
+    rows = e.select("article_id", F.col("entity_id").alias("ord"), F.lit(1.0).alias("w"), "vec")
+    g = reduce_lists(rows, "article_id", "an article's entities", "m", "array<double>", lambda w, m, first: as_lists(np.add.reduceat(m, first) / np.add.reduceat(w, first)[:, None]))
+    return arts.select("article_id").join(g, "article_id", "left").select("article_id", F.coalesce("m", F.array_repeat(F.lit(0.0), size)).alias("evec"))
 
 
 def fused_vectors(vectors: DataFrame, means: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -86,17 +92,30 @@ def encode(arts: DataFrame, encoder: Callable[[list[str]], np.ndarray], size: in
     return arts.select("article_id", article_text(F.col("title"), F.col("abstract")).alias("t")).mapInPandas(run, "article_id string, vec array<double>")
 
 
-def tfidf(arts: DataFrame, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
-    """``article_id, term, w``: tf * (ln((1 + n) / (1 + df)) + 1), unit length per article."""
+def term_counts(arts: DataFrame) -> DataFrame:
+    """``article_id, term, n`` over title and abstract."""
     e = arts.select("article_id", F.explode(tokens(article_text(F.col("title"), F.col("abstract")))).alias("term"))
-    tf = e.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def idf(arts: DataFrame, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
+    """``term, df, idf`` of the terms kept: ln((1 + n) / (1 + df)) + 1."""
     total = arts.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-    x = tf.join(df, "term").withColumn("x", F.col("n") * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0))
+    df = term_counts(arts).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
+    return df.select("term", "df", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def weigh_terms(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """``article_id, term, w``: n * idf, unit length per article."""
+    x = counts.join(idf.select("term", "idf"), "term").withColumn("x", F.col("n") * F.col("idf"))
     length = x.groupBy("article_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
     return x.join(length, "article_id").select("article_id", "term", (F.col("x") / F.col("l")).alias("w"))
 
 
+def tfidf(arts: DataFrame, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
+    return weigh_terms(term_counts(arts), idf(arts, min_df, max_df))
+
+
 class Lsa:
     """Latent semantic vectors. The term basis is found by subspace iteration: each round is two
     joins of the tf-idf table with a (key, k-vector) table; only k x k matrices reach the driver."""
@@ -145,5 +164,23 @@ class Lsa:
             docs = self._times(x, basis, "term", "article_id")
             basis = materialize(self._orthonormal(materialize(self._times(x, docs, "article_id", "term"), f"lsa-terms{r}"), "term"), f"lsa-basis{r}")
         self.basis = basis
+        self.idf = materialize(idf(arts, self.min_df, self.max_df).select("term", "idf"), "lsa-idf")
         out = self._times(x, basis, "term", "article_id")
         return out.select("article_id", unit(F.col("v")).alias("vec"))
+
+    def project(self, arts: DataFrame) -> DataFrame:
+        """``article_id, vec`` of articles the fit need not have seen: their terms get the weights of the
+        fit, terms it did not keep count for nothing. An article of the fit gets the vector it got there."""
+        x = weigh_terms(term_counts(arts), self.idf)
+        return self._times(x, self.basis, "term", "article_id").select("article_id", unit(F.col("v")).alias("vec"))
+
+    def save(self, spark: SparkSession, root: str) -> None:
+        config = {k: getattr(self, k) for k in ("size", "rounds", "seed", "min_df", "max_df")}
+        sinks.save_index(spark, root, config, basis=self.basis, idf=self.idf)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Lsa:
+        config, tables = sinks.load_index(spark, root)
+        out = cls(**config)
+        out.basis, out.idf = tables["basis"], tables["idf"]
+        return out

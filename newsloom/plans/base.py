@@ -46,18 +46,22 @@ def r6(c):
 
 
 ID = r"[\p{L}\p{M}\p{N}_\-]+"
-ART = """art AS (SELECT * REPLACE (coalesce(entities, CAST([] AS VARCHAR[])) AS entities) FROM articles WHERE article_id IS NOT NULL
+ART = """art AS MATERIALIZED (SELECT * REPLACE (coalesce(entities, CAST([] AS VARCHAR[])) AS entities) FROM articles WHERE article_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY (url IS NULL), last_modified_time DESC NULLS LAST, title NULLS LAST) = 1)"""
-IMP = f"""imp AS (SELECT impression_id, user_id, session_id, impression_time, read_time, scroll_percentage, split,
+IMP = f"""imp AS MATERIALIZED (SELECT impression_id, user_id, session_id, impression_time, read_time, scroll_percentage, split,
     regexp_extract_all(coalesce(history, ''), '{ID}') hist,
     [x for x in regexp_extract_all(coalesce(impressions, ''), '{ID}') if NOT contains(x, '-') OR TRY_CAST(regexp_extract(x, '^(.*)-([^-]*)$', 2) AS INTEGER) IS NOT NULL] toks
   FROM behaviors WHERE impression_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY impression_id ORDER BY ingested_time NULLS LAST, impressions NULLS LAST) = 1)"""
-CND = """cnd AS (SELECT impression_id, user_id, impression_time, split, pos, CASE WHEN contains(tok, '-') THEN regexp_extract(tok, '^(.*)-([^-]*)$', 1) ELSE tok END article_id,
+CND = """cnd AS MATERIALIZED (SELECT impression_id, user_id, impression_time, split, pos, CASE WHEN contains(tok, '-') THEN regexp_extract(tok, '^(.*)-([^-]*)$', 1) ELSE tok END article_id,
     CASE WHEN contains(tok, '-') THEN TRY_CAST(regexp_extract(tok, '^(.*)-([^-]*)$', 2) AS INTEGER) END AS label
   FROM (SELECT *, unnest(toks) tok, generate_subscripts(toks, 1) pos FROM imp))"""
-HIST = """hst AS (SELECT impression_id, split, article_id, hpos, pow(0.85, m - hpos) weight FROM
+HIST = """hst AS MATERIALIZED (SELECT impression_id, split, article_id, hpos, pow(0.85, m - hpos) weight FROM
     (SELECT impression_id, split, unnest(r) article_id, generate_subscripts(r, 1) hpos, len(r) m FROM (SELECT impression_id, split, list_slice(hist, greatest(len(hist) - 19, 1), len(hist)) r FROM imp)))"""
-VEC = "vec AS (SELECT article_id, CAST(embedding AS DOUBLE[]) vec FROM art JOIN embeddings ON vec_id = CAST(regexp_extract(article_id, '([0-9]+)$', 1) AS BIGINT) % (SELECT count(*) FROM embeddings))"
+VEC = """vec AS MATERIALIZED (SELECT article_id, CAST(embedding AS DOUBLE[]) vec FROM (SELECT article_id, CAST(regexp_extract(article_id, '([0-9]+)$', 1) AS BIGINT) % n vec_id FROM art, (SELECT count(*) n FROM embeddings)) JOIN embeddings USING (vec_id))"""
+#: uv(impression_id, split, dim, x) and ul(impression_id, u): unit vectors of the pooled histories
+POOLED = """up AS (SELECT impression_id, split, d, sum(weight * x) / sum(weight) m FROM (SELECT impression_id, split, weight, unnest(vec) x, generate_subscripts(vec, 1) d FROM hst JOIN vec USING (article_id)) GROUP BY 1, 2, 3),
+uv AS MATERIALIZED (SELECT impression_id, split, d - 1 dim, m / sqrt(sum(m * m) OVER (PARTITION BY impression_id)) x FROM up),
+ul AS MATERIALIZED (SELECT impression_id, list(x ORDER BY dim) u FROM uv GROUP BY 1)"""
 TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import features, guards, history, ranking, resample, semantic
-from newsloom.plans.base import ART, CND, HIST, IMP, arts, cands, inter, r6, stored, vectors, with_
+from newsloom.plans.base import ART, CND, HIST, IMP, POOLED, VEC, arts, cands, inter, r6, stored, vectors, with_
 from newsloom.session import table
 from newsloom.sources import click_log
 
@@ -54,6 +54,11 @@ def category_match(s: SparkSession, d: str) -> DataFrame:
     return c.select("impression_id", "pos", "article_id", r6("history_category_match"))
 
 
+def subcategory_match(s: SparkSession, d: str) -> DataFrame:
+    a, i, c = stored(s, d)
+    return features.category_match(c, i, a, column="subcategory").select("impression_id", "pos", "article_id", r6("history_subcategory_match"))
+
+
 def _prior(s: SparkSession, d: str, legacy: bool = False) -> DataFrame:
     return _prior_of(inter(s, d), legacy)
 
@@ -75,28 +80,52 @@ def prior_engagement_mean_legacy(s: SparkSession, d: str) -> DataFrame:
     return _prior(s, d, True).select("impression_id", r6("user_avg_past_read_time"), r6("user_avg_past_scroll_pct"))
 
 
-def candidate_features(s: SparkSession, d: str) -> DataFrame:
-    a, i, c = stored(s, d)
-    f = features.candidate_features(i, a, c, _prior_of(i))
-    dbl = ("history_category_match", "train_ctr", "article_days_since_publish", "user_avg_past_read_time", "user_avg_past_scroll_pct")
-    return f.drop("history_embedding_sim").select(*[r6(x) if x in dbl else x for x in f.columns if x != "history_embedding_sim"])
+SIX = ("history_category_match", "history_subcategory_match", "train_ctr", "article_days_since_publish", "user_avg_past_read_time", "user_avg_past_scroll_pct")
 
 
-def candidate_features_whole(s: SparkSession, d: str) -> DataFrame:
-    """All features, with the likeness of history and article."""
+def built_features(s: SparkSession, d: str) -> DataFrame:
     a, i, c = stored(s, d)
     v = vectors(s, d)
-    f = features.candidate_features(i, a, c, _prior_of(i), semantic.score_candidates(c, semantic.user_vectors(i, v), v))
-    dbl = ("history_category_match", "train_ctr", "article_days_since_publish", "user_avg_past_read_time", "user_avg_past_scroll_pct")
-    return f.select(*[F.round(x, 5).alias(x) if x == "history_embedding_sim" else r6(x) if x in dbl else x for x in f.columns])
+    return features.candidate_features(i, a, c, _prior_of(i), semantic.score_candidates(c, semantic.user_vectors(i, v), v))
+
+
+def candidate_features(s: SparkSession, d: str) -> DataFrame:
+    """All features of all candidates, with the likeness of history and article."""
+    f = built_features(s, d)
+    return f.select(*[F.round(x, 5).alias(x) if x == "history_embedding_sim" else r6(x) if x in SIX else x for x in f.columns])
 
 
 def feature_score_join(s: SparkSession, d: str) -> DataFrame:
-    """Features joined with the scores of the same impression and article (latest scored)."""
+    """Candidates joined with the scores of the same impression and article (latest scored). An article
+    shown twice in an impression has one score for both places."""
     c = cands(s, d).select("impression_id", "article_id", "pos", "label")
+    return c.join(_last_scores(s, d), ["impression_id", "article_id"]).select("impression_id", "article_id", "pos", "label", *_as_float())
+
+
+def _last_scores(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "candidate_features").select("impression_id", F.col("candidate_article_id").alias("article_id"), F.nanvl("bm25_score", F.lit(None).cast("double")).alias("b"), F.nanvl("fusion_score", F.lit(None).cast("double")).alias("f"), "scored_at")
-    last = click_log.first_rows(t, ["impression_id", "article_id"], [F.col("scored_at").desc_nulls_last(), F.col("b").desc_nulls_last(), F.col("f").desc_nulls_last()])
-    return c.join(last, ["impression_id", "article_id"]).select("impression_id", "article_id", "pos", "label", F.col("b").cast("float").cast("double").alias("bm25_score"), F.col("f").cast("float").cast("double").alias("fusion_score"))
+    return click_log.first_rows(t, ["impression_id", "article_id"], [F.col("scored_at").desc_nulls_last(), F.col("b").desc_nulls_last(), F.col("f").desc_nulls_last()])
+
+
+def _as_float() -> list:
+    return [F.col("b").cast("float").cast("double").alias("bm25_score"), F.col("f").cast("float").cast("double").alias("fusion_score")]
+
+
+def assembled_features(s: SparkSession, d: str) -> DataFrame:
+    """Rows of the ranker: built features beside scores, each pair of impression and article once, at its
+    first place."""
+    f = built_features(s, d).select("impression_id", "article_id", "candidate_position", "label", "split", "history_length", "history_category_match", "train_impressions", "article_days_since_publish", "session_prior_click_count")
+    one = click_log.first_rows(f, ["impression_id", "article_id"], [F.col("candidate_position")])
+    j = one.join(_last_scores(s, d), ["impression_id", "article_id"])
+    return j.select("impression_id", "article_id", "candidate_position", "label", "split", "history_length", r6("history_category_match"), "train_impressions", r6("article_days_since_publish"), "session_prior_click_count", *_as_float())
+
+
+def assembly_losses(s: SparkSession, d: str) -> DataFrame:
+    """Rows on either side of that join without a partner, by split of the candidates."""
+    c = cands(s, d).select("impression_id", "article_id", "split").distinct()
+    t = _last_scores(s, d).where("impression_id IS NOT NULL AND article_id IS NOT NULL").select("impression_id", "article_id", F.lit(True).alias("scored"))
+    j = c.withColumn("shown", F.lit(True)).join(t, ["impression_id", "article_id"], "full")
+    return j.groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count_if(F.col("shown") & F.col("scored").isNull()).alias("not_scored"), F.count_if(F.col("shown").isNull()).alias("not_shown"), F.count_if(F.col("shown") & F.col("scored")).alias("joined"))
 
 
 def profile_summary(s: SparkSession, d: str) -> DataFrame:
@@ -161,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         popularity_rank, rank_lines, article_features, user_features_cutoff, click_history, split_boundaries, first_seen_freshness, history_recent_weights, category_match,
-        session_prior_clicks, prior_engagement_mean, prior_engagement_mean_legacy, candidate_features, candidate_features_whole, feature_score_join, profile_summary, null_profile, value_counts,
+        session_prior_clicks, prior_engagement_mean, prior_engagement_mean_legacy, candidate_features, feature_score_join, assembled_features, assembly_losses, subcategory_match, profile_summary, null_profile, value_counts,
         latency_percentiles, set_union_dedupe, intersect_except, negative_sampling, sampled_impressions, user_sessions_streamable,
     )
 }
@@ -176,6 +205,8 @@ _FRESH = """fr AS (SELECT *, CASE WHEN d >= 0 THEN d END dd FROM (SELECT c.*, da
 _DAYS = "coalesce(dd, max(dd) OVER (PARTITION BY split), 0.0)"
 _CAT = """cw AS (SELECT impression_id, category, sum(weight) w FROM hst JOIN art USING (article_id) WHERE category IS NOT NULL GROUP BY 1, 2),
 sh AS (SELECT impression_id, category, w / sum(w) OVER (PARTITION BY impression_id) share FROM cw)"""
+_SUB = """sw AS (SELECT impression_id, subcategory, sum(weight) w FROM hst JOIN art USING (article_id) WHERE subcategory IS NOT NULL GROUP BY 1, 2),
+ss AS (SELECT impression_id, subcategory, w / sum(w) OVER (PARTITION BY impression_id) sub_share FROM sw)"""
 _PRIOR = """nc AS (SELECT *, CAST(len([x for x in toks if regexp_matches(x, '-1$')]) AS BIGINT) n_clicked, CASE WHEN isnan(read_time) THEN NULL ELSE CAST(read_time AS DOUBLE) END rt, CASE WHEN isnan(scroll_percentage) THEN NULL ELSE CAST(scroll_percentage AS DOUBLE) END sp FROM imp),
 pr AS (SELECT impression_id,
     CASE WHEN session_id IS NULL THEN 0 ELSE coalesce(sum(n_clicked) OVER (PARTITION BY session_id ORDER BY impression_time NULLS FIRST, impression_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END pc,
@@ -184,6 +215,17 @@ pr AS (SELECT impression_id,
   WINDOW u AS (PARTITION BY user_id ORDER BY impression_time NULLS FIRST, impression_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u0 AS (PARTITION BY user_id ORDER BY impression_time NULLS FIRST, impression_id))"""
 
 
+_BUILT_FROM = (
+    ART, IMP, CND, HIST, VEC, POOLED, _CAT, _SUB, _AF, _SEEN, _FRESH.format(since="coalesce(p.published_time, fs)", join="LEFT JOIN (SELECT article_id, published_time FROM art) p USING (article_id)"), _PRIOR,
+    f"""built AS (SELECT f.impression_id, f.article_id, f.label, f.split, f.pos candidate_position, len(i.hist) history_length, coalesce(share, 0.0) history_category_match, coalesce(sub_share, 0.0) history_subcategory_match, coalesce(list_dot_product(u, vec), 0.0) history_embedding_sim,
+  coalesce(af.train_ctr, 0.0) train_ctr, coalesce(af.train_impressions, 0) train_impressions, {_DAYS.replace("split", "f.split")} article_days_since_publish, CAST(coalesce(pc, 0) AS BIGINT) session_prior_click_count, coalesce(rt, 0.0) user_avg_past_read_time, coalesce(sp, 0.0) user_avg_past_scroll_pct
+FROM fr f JOIN imp i USING (impression_id) LEFT JOIN art a ON a.article_id = f.article_id LEFT JOIN sh ON sh.impression_id = f.impression_id AND sh.category = a.category LEFT JOIN ss ON ss.impression_id = f.impression_id AND ss.subcategory = a.subcategory
+  LEFT JOIN af ON af.article_id = f.article_id LEFT JOIN pr ON pr.impression_id = f.impression_id LEFT JOIN vec ON vec.article_id = f.article_id LEFT JOIN ul ON ul.impression_id = f.impression_id)""",
+)
+_LAST_SCORES = """t AS (SELECT impression_id, candidate_article_id article_id, CASE WHEN isnan(bm25_score) THEN NULL ELSE bm25_score END b, CASE WHEN isnan(fusion_score) THEN NULL ELSE fusion_score END f, scored_at FROM candidate_features
+  QUALIFY row_number() OVER (PARTITION BY impression_id, candidate_article_id ORDER BY scored_at DESC NULLS LAST, b DESC NULLS LAST, f DESC NULLS LAST) = 1)"""
+
+
 def uniform_sql(row: str, draw: str) -> str:
     a = f"((({row} % 2147483647) * 48271 + CAST({draw} AS BIGINT) * 69621 + 42) % 2147483647)"
     b = f"(({a} * 16807) % 2147483647)"
@@ -205,12 +247,17 @@ FROM cnd, k WHERE label = 1 AND user_id IS NOT NULL AND impression_time < cut GR
     "session_prior_clicks": with_(IMP, _PRIOR) + "SELECT impression_id, CAST(pc AS BIGINT) session_prior_click_count FROM pr",
     "prior_engagement_mean": with_(IMP, _PRIOR) + "SELECT impression_id, round(rt, 6) user_avg_past_read_time, round(sp, 6) user_avg_past_scroll_pct FROM pr",
     "prior_engagement_mean_legacy": with_(IMP, _PRIOR) + "SELECT impression_id, round(CASE WHEN lrt IS NOT NULL THEN rt END, 6) user_avg_past_read_time, round(CASE WHEN lsp IS NOT NULL THEN sp END, 6) user_avg_past_scroll_pct FROM pr",
-    "candidate_features": with_(ART, IMP, CND, HIST, _CAT, _AF, _SEEN, _FRESH.format(since="coalesce(p.published_time, fs)", join="LEFT JOIN (SELECT article_id, published_time FROM art) p USING (article_id)"), _PRIOR) + f"""
-SELECT f.impression_id, f.article_id, f.label, f.split, f.pos candidate_position, len(i.hist) history_length, round(coalesce(share, 0.0), 6) history_category_match, round(coalesce(af.train_ctr, 0.0), 6) train_ctr, coalesce(af.train_impressions, 0) train_impressions,
-  round({_DAYS.replace("split", "f.split")}, 6) article_days_since_publish, CAST(coalesce(pc, 0) AS BIGINT) session_prior_click_count, round(coalesce(rt, 0.0), 6) user_avg_past_read_time, round(coalesce(sp, 0.0), 6) user_avg_past_scroll_pct
-FROM fr f JOIN imp i USING (impression_id) LEFT JOIN art a ON a.article_id = f.article_id LEFT JOIN sh ON sh.impression_id = f.impression_id AND sh.category = a.category LEFT JOIN af ON af.article_id = f.article_id LEFT JOIN pr ON pr.impression_id = f.impression_id""",
-    "feature_score_join": with_(IMP, CND) + """, t AS (SELECT impression_id, candidate_article_id article_id, CASE WHEN isnan(bm25_score) THEN NULL ELSE bm25_score END b, CASE WHEN isnan(fusion_score) THEN NULL ELSE fusion_score END f, scored_at FROM candidate_features
-  QUALIFY row_number() OVER (PARTITION BY impression_id, candidate_article_id ORDER BY scored_at DESC NULLS LAST, b DESC NULLS LAST, f DESC NULLS LAST) = 1)
+    "subcategory_match": with_(ART, IMP, CND, HIST, _SUB) + "SELECT c.impression_id, pos, c.article_id, round(coalesce(sub_share, 0.0), 6) history_subcategory_match FROM cnd c LEFT JOIN art a USING (article_id) LEFT JOIN ss ON ss.impression_id = c.impression_id AND ss.subcategory = a.subcategory",
+    "candidate_features": with_(*_BUILT_FROM) + """
+SELECT impression_id, article_id, label, split, candidate_position, history_length, round(history_category_match, 6) history_category_match, round(history_subcategory_match, 6) history_subcategory_match, round(history_embedding_sim, 5) history_embedding_sim,
+  round(train_ctr, 6) train_ctr, train_impressions, round(article_days_since_publish, 6) article_days_since_publish, session_prior_click_count, round(user_avg_past_read_time, 6) user_avg_past_read_time, round(user_avg_past_scroll_pct, 6) user_avg_past_scroll_pct FROM built""",
+    "assembled_features": with_(*_BUILT_FROM, _LAST_SCORES) + """
+SELECT impression_id, article_id, candidate_position, label, split, history_length, round(history_category_match, 6) history_category_match, train_impressions, round(article_days_since_publish, 6) article_days_since_publish, session_prior_click_count,
+  CAST(CAST(b AS FLOAT) AS DOUBLE) bm25_score, CAST(CAST(f AS FLOAT) AS DOUBLE) fusion_score
+FROM (SELECT * FROM built QUALIFY row_number() OVER (PARTITION BY impression_id, article_id ORDER BY candidate_position) = 1) JOIN t USING (impression_id, article_id)""",
+    "assembly_losses": with_(IMP, CND, _LAST_SCORES) + """, c AS (SELECT DISTINCT impression_id, article_id, split, true shown FROM cnd), u AS (SELECT impression_id, article_id, true scored FROM t WHERE impression_id IS NOT NULL AND article_id IS NOT NULL)
+SELECT coalesce(split, 'none') split, count(*) FILTER (shown AND scored IS NULL) not_scored, count(*) FILTER (shown IS NULL) not_shown, count(*) FILTER (shown AND scored) joined FROM c FULL JOIN u USING (impression_id, article_id) GROUP BY 1""",
+    "feature_score_join": with_(IMP, CND, _LAST_SCORES) + """
 SELECT impression_id, article_id, pos, label, CAST(CAST(b AS FLOAT) AS DOUBLE) bm25_score, CAST(CAST(f AS FLOAT) AS DOUBLE) fusion_score FROM cnd JOIN t USING (impression_id, article_id)""",
     "profile_summary": with_(IMP) + "SELECT split, count(*) n, count(DISTINCT user_id) n_users, count(*) FILTER (user_id IS NULL) null_users, min(impression_time) first_time, max(impression_time) last_time, round(avg(len(hist)), 6) mean_history, min(len(hist)) min_history, max(len(hist)) max_history, CAST(quantile_cont(len(hist), 0.5) AS DOUBLE) median_history, round(avg(len(toks)), 6) mean_shown FROM imp GROUP BY 1",
     "null_profile": " UNION ALL ".join(f"SELECT '{c}' column_name, count(*) FILTER ({c} IS NULL) n_null, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 6) pct_null FROM behaviors" for c in _NULLABLE),

@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from newsloom.functions.vectors import dot, fuse
-from newsloom.operators import bm25f, features, history, metrics, ranking, resample, semantic
-from newsloom.operators.bm25f import Bm25f
-from newsloom.plans.base import ART, CND, HIST, IMP, TOK, VEC, arts, cands, inter, r6, stored, vectors, with_
+from newsloom.operators import bm25f, features, history, metrics, ranking, recommend, resample, semantic
+from newsloom.operators.recommend import Index
+from newsloom.plans.base import ART, CND, HIST, IMP, POOLED, TOK, VEC, arts, cands, inter, r6, stored, vectors, with_
 from newsloom.plans.feature_queries import uniform_sql
 from newsloom.session import table
 from newsloom.shared import first_rows, materialize, number
+from newsloom.sources import click_log
 
-N_BOOT = 200
-GRID_K1, GRID_B = (1.2, 1.5, 2.2), (0.6, 0.75, 0.9)
 #: the reference's draws and grid
-N_BOOT_WHOLE = 1000
-GRID_K1_WHOLE, GRID_B_WHOLE = (1.0, 1.2, 1.5, 1.8, 2.2), (0.3, 0.5, 0.75, 0.9)
+N_BOOT = 1000
+GRID_K1, GRID_B = (1.0, 1.2, 1.5, 1.8, 2.2), (0.3, 0.5, 0.75, 0.9)
 KS = (50, 100, 200)
 METHODS = ("bm25_score", "semantic_score", "fusion_score", "reranker_score")
 METRICS = ("auc", "mrr", "ndcg5", "ndcg10")
@@ -50,10 +48,8 @@ def _queries(df: DataFrame) -> DataFrame:
     return df.where(F.col("impression_id") % 50 == 0)
 
 
-def _lexical(s: SparkSession, d: str, entities: bool = False, whole: bool = False) -> DataFrame:
+def _lexical(s: SparkSession, d: str, entities: bool = False) -> DataFrame:
     a, i, c = stored(s, d)
-    if not whole:
-        i, c = _val(i), _val(c)
     index = materialize(bm25f.postings(a), "postings")
     q = materialize(bm25f.query_terms(i, a, vocab=index.select("term").distinct()), "terms")
     e = bm25f.query_entities(i, a) if entities else None
@@ -68,51 +64,36 @@ def entity_boost(s: SparkSession, d: str) -> DataFrame:
     return _lexical(s, d, True).select("impression_id", "pos", "article_id", r6("bm25_score"))
 
 
-def bm25f_restricted_whole(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of all splits."""
-    return _lexical(s, d, whole=True).select("impression_id", "pos", "article_id", r6("bm25_score"))
-
-
-def entity_boost_whole(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of all splits."""
-    return _lexical(s, d, True, True).select("impression_id", "pos", "article_id", r6("bm25_score"))
+def _search(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Terms of the searching impressions and the postings of the corpus."""
+    a = materialize(arts(s, d), "articles")
+    index = materialize(bm25f.postings(a), "postings")
+    return materialize(bm25f.query_terms(_queries(inter(s, d)), a, vocab=index.select("term").distinct()), "terms"), index
 
 
 def _found(s: SparkSession, d: str, k: int) -> DataFrame:
-    a = materialize(arts(s, d), "articles")
-    index = materialize(bm25f.postings(a), "postings")
-    terms = materialize(bm25f.query_terms(_queries(inter(s, d)), a, vocab=index.select("term").distinct()), "terms")
-    return bm25f.search_top(terms, index, k)
+    return bm25f.search_top(*_search(s, d), k)
 
 
 def bm25f_topk(s: SparkSession, d: str) -> DataFrame:
     return _found(s, d, 50).select("impression_id", "rank", "article_id", r6("score"))
 
 
-def user_vector_pool(s: SparkSession, d: str) -> DataFrame:
-    u = semantic.user_vectors(inter(s, d), vectors(s, d))
-    return u.select("impression_id", F.posexplode("user_vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 5).alias("x")).where("dim < 4")
+def bm25f_corpus_scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores of the whole corpus for every searching impression; articles left out score 0."""
+    return bm25f.score_all(*_search(s, d)).select("impression_id", "article_id", r6("score"))
 
 
-def user_vector_pool_whole(s: SparkSession, d: str) -> DataFrame:
-    """All dimensions."""
+def user_vector_pool(s: SparkSession, d: str) -> DataFrame:
     u = semantic.user_vectors(inter(s, d), vectors(s, d))
-    return u.select("impression_id", F.posexplode("user_vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 5).alias("x"))
-
-
-def _semantic(s: SparkSession, d: str) -> DataFrame:
-    v = vectors(s, d)
-    return semantic.score_candidates(_val(cands(s, d)), semantic.user_vectors(_val(inter(s, d)), v), v)
+    return u.select("impression_id", F.posexplode("user_vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 6).alias("x"))
 
 
 def cosine_candidates(s: SparkSession, d: str) -> DataFrame:
-    return _semantic(s, d).select("impression_id", "pos", "article_id", F.round("semantic_score", 5).alias("semantic_score"))
-
-
-def cosine_candidates_whole(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of all splits."""
     v = vectors(s, d)
-    return semantic.score_candidates(cands(s, d), semantic.user_vectors(inter(s, d), v), v).select("impression_id", "pos", "article_id", F.round("semantic_score", 5).alias("semantic_score"))
+    i = materialize(inter(s, d), "interactions")
+    c = semantic.score_candidates(click_log.candidates(i), semantic.user_vectors(i, v), v)
+    return c.select("impression_id", "pos", "article_id", r6("semantic_score"))
 
 
 def _first_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -127,28 +108,25 @@ def cosine_topk(s: SparkSession, d: str) -> DataFrame:
     return semantic.search_top(q, v, 10).select(F.col("impression_id").alias("vec_id"), "rank", F.col("article_id").cast("long").alias("near_id"), r6("score"))
 
 
-def entity_fusion(s: SparkSession, d: str) -> DataFrame:
-    """Each vector fused with its successor's, weight 0.5: the likeness to vector 0 fused the same way."""
-    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    nxt = e.select(F.col("vec_id").alias("k"), F.col("v").alias("w"))
-    f = e.join(F.broadcast(n)).withColumn("k", (F.col("vec_id") + 1) % F.col("n")).join(nxt, "k").select("vec_id", fuse(F.col("v"), F.col("w"), 0.5).alias("f"))
-    one = f.where("vec_id = 0").select(F.col("f").alias("f0"))
+def entity_vectors(s: SparkSession, d: str, a: DataFrame) -> DataFrame:
+    """A vector for every entity: the first 32 bits of its name's md5, modulo the number of vectors, name
+    the row of the embeddings table."""
+    t = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = t.agg(F.count(F.lit(1)).alias("n"))
+    names = a.select(F.explode("entities").alias("entity_id")).where("entity_id IS NOT NULL").distinct()
+    at = F.conv(F.substring(F.md5(F.col("entity_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    return names.join(F.broadcast(n)).withColumn("vec_id", F.pmod(at, F.col("n"))).join(t, "vec_id").select("entity_id", "vec")
 
 
-    return f.join(F.broadcast(one)).select("vec_id", F.round(dot(F.col("f"), F.col("f0")), 5).alias("likeness"))
+def _fused(s: SparkSession, d: str) -> DataFrame:
+    a = arts(s, d)
+    size = table(s, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    return semantic.fused_vectors(vectors(s, d), semantic.entity_means(a, entity_vectors(s, d, a), size))
 
 
-def entity_fusion_whole(s: SparkSession, d: str) -> DataFrame:
-    """The fused vector of every article that has one: its own beside the mean of its entities'. The
-    crc32 of an entity's name modulo the number of vectors names its row of the embeddings table."""
-    a = arts(s, d)
-    t = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    n, size = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    names = a.select(F.explode("entities").alias("entity_id")).distinct()
-    known = names.withColumn("vec_id", F.pmod(F.crc32(F.col("entity_id").cast("binary")), F.lit(n))).join(t, "vec_id").select("entity_id", "vec")
-    f = semantic.fused_vectors(vectors(s, d), semantic.entity_means(a, known, size or 0))
-    return f.select("article_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+def entity_fusion(s: SparkSession, d: str) -> DataFrame:
+    """The fused vector of every article that has one: its own beside the mean of its entities'."""
+    return _fused(s, d).select("article_id", F.posexplode("vec").alias("dim", "x")).select("article_id", "dim", r6("x"))
 
 
 def latest(s: SparkSession, d: str) -> DataFrame:
@@ -209,7 +187,7 @@ def _top10(s: SparkSession, d: str) -> DataFrame:
 
 
 def diversity(s: SparkSession, d: str) -> DataFrame:
-    return metrics.diversity(_top10(s, d), vectors(s, d)).select("impression_id", F.round("diversity", 5).alias("diversity"))
+    return metrics.diversity(_top10(s, d), vectors(s, d)).select("impression_id", r6("diversity"))
 
 
 def novelty(s: SparkSession, d: str) -> DataFrame:
@@ -220,87 +198,117 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     return metrics.coverage(_top10(s, d), arts(s, d)).select(r6("coverage"))
 
 
-def recall_at_k(s: SparkSession, d: str) -> DataFrame:
-    truth = _queries(cands(s, d)).where("label = 1")
-    return metrics.recall_at(truth, _found(s, d, max(KS)), KS).select("impression_id", "k", r6("recall"))
+def _truth(s: SparkSession, d: str) -> DataFrame:
+    return _queries(cands(s, d)).where("label = 1")
 
 
-def recall_report(s: SparkSession, d: str) -> DataFrame:
-    truth = _queries(cands(s, d)).where("label = 1")
-    m = metrics.sliced_means(metrics.recall_at(truth, _found(s, d, max(KS)), KS), history.user_slices(inter(s, d)), ("recall",), ("k",))
-    return m.select("k", "slice", "n", r6("recall"))
+def recall_at_k(s: SparkSession, d: str) -> DataFrame:
+    return metrics.recall_at(_truth(s, d), _found(s, d, max(KS)), KS).select("impression_id", "k", r6("recall"))
 
 
-def _mean_interval(s: SparkSession, d: str, draws: int) -> DataFrame:
-    m = metrics.impression_metrics(_filled(s, d), "fusion_score")
-    return resample.mean_interval(m, "auc", n_boot=draws).select(r6("mean"), r6("lo"), r6("hi"), "n")
+def _recalls(s: SparkSession, d: str) -> DataFrame:
+    """Recall of both searches by method, k and slice; only clicks on indexed articles count."""
+    a, v = arts(s, d), vectors(s, d)
+    users = semantic.user_vectors(_queries(inter(s, d)), v)
+    found = {"bm25": _found(s, d, max(KS)), "semantic": semantic.search_top(users, v, max(KS))}
+    truth = materialize(_truth(s, d), "truth")
+    parts = [metrics.recall_at(truth, f, KS, a).withColumn("method", F.lit(m)) for m, f in found.items()]
+    return metrics.sliced_means(parts[0].unionByName(parts[1]), history.user_slices(inter(s, d)), ("recall",), ("method", "k"))
 
 
-def bootstrap_mean(s: SparkSession, d: str) -> DataFrame:
-    return _mean_interval(s, d, N_BOOT)
+def recall_report(s: SparkSession, d: str) -> DataFrame:
+    """``better`` marks the method of the higher recall for each k and slice."""
+    m = recommend.better_method(_recalls(s, d).withColumn("recall", r6(F.col("recall"))), "recall", ("k", "slice"))
+    return m.select("method", "k", "slice", "n", "recall", "better")
 
 
-def bootstrap_mean_whole(s: SparkSession, d: str) -> DataFrame:
-    return _mean_interval(s, d, N_BOOT_WHOLE)
+def bootstrap_mean(s: SparkSession, d: str) -> DataFrame:
+    m = metrics.impression_metrics(_filled(s, d), "fusion_score")
+    return resample.mean_interval(m, "auc", n_boot=N_BOOT).select(r6("mean"), r6("lo"), r6("hi"), "n")
 
 
-def _paired_delta(s: SparkSession, d: str, draws: int) -> DataFrame:
+def bootstrap_paired_delta(s: SparkSession, d: str) -> DataFrame:
     f = materialize(_filled(s, d), "filled")
     a, b = (metrics.impression_metrics(f, m) for m in ("fusion_score", "reranker_score"))
-    return resample.paired_delta(a, b, "auc", n_boot=draws).select(r6("delta"), r6("lo"), r6("hi"), "n", "excludes_zero")
-
-
-def bootstrap_paired_delta(s: SparkSession, d: str) -> DataFrame:
-    return _paired_delta(s, d, N_BOOT)
-
-
-def bootstrap_paired_delta_whole(s: SparkSession, d: str) -> DataFrame:
-    return _paired_delta(s, d, N_BOOT_WHOLE)
+    return resample.paired_delta(a, b, "auc", n_boot=N_BOOT).select(r6("delta"), r6("lo"), r6("hi"), "n", "excludes_zero")
 
 
 def bootstrap_coverage(s: SparkSession, d: str) -> DataFrame:
     return resample.coverage_interval(_top10(s, d), arts(s, d), n_boot=N_BOOT).select(*map(r6, ("coverage", "lo", "hi")))
 
 
-def bootstrap_coverage_whole(s: SparkSession, d: str) -> DataFrame:
-    return resample.coverage_interval(_top10(s, d), arts(s, d), n_boot=N_BOOT_WHOLE).select(*map(r6, ("coverage", "lo", "hi")))
-
-
-def _grid(s: SparkSession, d: str, k1s: tuple, bs: tuple) -> DataFrame:
-    """Mean AUC of every (k1, b): one index, one join, all grid points in the weight expression."""
+def bm25_grid(s: SparkSession, d: str) -> DataFrame:
+    """Mean AUC of every (k1, b) over val; ``best`` marks the point of the highest, of equal ones the first."""
     a, i, c = stored(s, d)
     i, c = _val(i), _val(c)
     stats = materialize(bm25f.field_stats(a), "bm25-stats")
     terms = materialize(bm25f.query_terms(i, a, vocab=stats.select("term").distinct()), "terms")
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in k1s for b in bs]))
-    # The grid rides along as columns of the statistics, so it is a fixed factor of the index.
-    g = stats.withColumn("g", grid).select("*", "g.k1", "g.b").drop("g")
-    index = bm25f.weigh(g, Bm25f(), F.col("k1"), F.col("b"), ("k1", "b"))
-    sc = bm25f.score_candidates(c, terms, index, keys=("k1", "b"))
-    full = c.withColumn("g", grid).select("impression_id", "article_id", "pos", "label", "g.k1", "g.b").join(sc, ["k1", "b", "impression_id", "article_id"], "left")
-    m = metrics.impression_metrics(full.withColumn("s", F.round(F.coalesce("bm25_score", F.lit(0.0)), 9)), "s", ("k1", "b", "impression_id"))
-    return m.groupBy("k1", "b").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n")).select("k1", "b", r6("auc"), "n")
+    points = [(k, b) for k in GRID_K1 for b in GRID_B]
+    sc = materialize(bm25f.grid_scores(c, terms, stats, GRID_K1, GRID_B), "grid-scores")
+    full = c.join(sc, ["impression_id", "article_id"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b"), F.round(F.coalesce(F.col("s")[j], F.lit(0.0)), 9).alias("s")) for j, (k, b) in enumerate(points)]))
+    rows = full.select("impression_id", "article_id", "pos", "label", each.alias("x")).select("impression_id", "article_id", "pos", "label", "x.*")
+    m = metrics.impression_metrics(rows, "s", ("k1", "b", "impression_id"))
+    g = materialize(m.groupBy("k1", "b").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n")).select("k1", "b", r6("auc"), "n"), "grid")
+    top = g.agg(F.max_by(F.struct("k1", "b"), F.struct("auc", -F.col("k1"), -F.col("b"))).alias("top"))
+    return g.join(F.broadcast(top)).select("k1", "b", "auc", "n", F.coalesce(F.struct("k1", "b") == F.col("top"), F.lit(False)).alias("best"))
 
 
-def bm25_grid(s: SparkSession, d: str) -> DataFrame:
-    return _grid(s, d, GRID_K1, GRID_B)
+# -- the whole way: index, scores, ranks, reports --
+def _index(s: SparkSession, d: str) -> Index:
+    return recommend.build_index(materialize(arts(s, d), "articles"), "vectors", vectors=vectors(s, d))
 
 
-def bm25_grid_whole(s: SparkSession, d: str) -> DataFrame:
-    """The reference's grid; ``best`` marks the point of the highest mean AUC, of equal ones the first."""
-    g = materialize(_grid(s, d, GRID_K1_WHOLE, GRID_B_WHOLE), "grid")
-    top = g.agg(F.max_by(F.struct("k1", "b"), F.struct("auc", -F.col("k1"), -F.col("b"))).alias("top"))
-    return g.join(F.broadcast(top)).select("k1", "b", "auc", "n", F.coalesce(F.struct("k1", "b") == F.col("top"), F.lit(False)).alias("best"))
+def retrieval_scores(s: SparkSession, d: str) -> DataFrame:
+    """All three scores of every candidate, in one call."""
+    i = materialize(inter(s, d), "interactions")
+    out = recommend.retrieval_scores(click_log.candidates(i), i, _index(s, d))
+    return out.select("impression_id", "pos", "article_id", *map(r6, recommend.SCORES))
+
+
+def _scored(s: SparkSession, d: str, split: str) -> tuple[DataFrame, Index, DataFrame]:
+    """Candidates of a split with label and the three scores, the index, and all interactions."""
+    i = materialize(inter(s, d), "interactions")
+    index = _index(s, d)
+    own = i.where(F.col("split") == split)
+    c = click_log.candidates(own)
+    scores = recommend.retrieval_scores(c, own, index)
+    return materialize(c.select("impression_id", "pos", "label").join(scores, ["impression_id", "pos"]), "scored"), index, i
+
+
+def prediction_pass(s: SparkSession, d: str) -> DataFrame:
+    """Scores and rank lines of every test impression, by all three methods."""
+    return recommend.prediction_lines(_scored(s, d, "test")[0])
+
+
+def evaluation_report(s: SparkSession, d: str) -> DataFrame:
+    """Val scored by three methods: six metrics and coverage with intervals, overall, cold and warm."""
+    scored, index, i = _scored(s, d, "val")
+    pop = features.popularity(click_log.candidates(i).where("split = 'train'"), index.articles)
+    per, top = recommend.impression_figures(scored, recommend.SCORES, index.vectors, pop)
+    top = top.join(index.articles.select("article_id"), "article_id", "left_semi")
+    report = recommend.evaluate(per, top, history.user_slices(i), index.articles.agg(F.count(F.lit(1)).alias("n")), N_BOOT)
+    return report.select("method", "slice", "metric", *map(r6, ("mean", "lo", "hi")), "n")
+
+
+def reranker_report(s: SparkSession, d: str) -> DataFrame:
+    """The stored re-ranker's scores against the fused ones: means, paired differences and intervals of the
+    six metrics, overall and in the slices cold, warm, head and tail."""
+    scored = materialize(_filled(s, d), "filled")
+    i = materialize(inter(s, d), "interactions")
+    a, c = materialize(arts(s, d), "articles"), click_log.candidates(i)
+    per, _ = recommend.impression_figures(scored, ("fusion_score", "reranker_score"), vectors(s, d), features.popularity(c.where("split = 'train'"), a))
+    tails = features.head_tail(_val(c), c.where("split = 'train'"), a).where("slice <> 'none'")
+    out = recommend.before_after(per, history.user_slices(i).unionByName(tails), "fusion_score", "reranker_score", N_BOOT)
+    return out.select("slice", "metric", *map(r6, ("before", "after", "delta", "lo", "hi")), "n", "excludes_zero")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        token_counts, vocab_df_filter, bm25f_postings, query_terms, bm25f_restricted, entity_boost, bm25f_topk, user_vector_pool, cosine_candidates, cosine_topk, entity_fusion,
+        token_counts, vocab_df_filter, bm25f_postings, query_terms, bm25f_restricted, entity_boost, bm25f_topk, bm25f_corpus_scores, user_vector_pool, cosine_candidates, cosine_topk, entity_fusion,
         minmax_fusion, ranking_metrics, auc, mrr, ndcg, method_report, cold_warm_slices, head_tail_slices, diversity, novelty, coverage, recall_at_k, recall_report,
-        bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid,
-        bm25f_restricted_whole, entity_boost_whole, cosine_candidates_whole, user_vector_pool_whole, entity_fusion_whole,
-        bootstrap_mean_whole, bootstrap_paired_delta_whole, bootstrap_coverage_whole, bm25_grid_whole,
+        bootstrap_mean, bootstrap_paired_delta, bootstrap_coverage, bm25_grid, retrieval_scores, prediction_pass, evaluation_report, reranker_report,
     )
 }
 
@@ -310,17 +318,17 @@ _ST = """st AS (SELECT k.*, sum(n) OVER (PARTITION BY article_id, field) len, m.
   JOIN (SELECT field, sum(n) / (SELECT count(*) FROM art) mean_len FROM ft JOIN voc USING (term) GROUP BY 1) m USING (field))"""
 _WEIGH = """SELECT {g} article_id, term, greatest(ln(((SELECT count(*) FROM art) - df + 0.5) / (df + 0.5) + 1.0), 1e-6) * f * ({k1} + 1.0) / (f + {k1}) weight
   FROM (SELECT {g} article_id, term, max(df) df, sum(CASE field WHEN 'title' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * n / (1.0::DOUBLE - {b} + {b} * len / mean_len)) f FROM st {grid} GROUP BY {g} article_id, term)"""
-_PO = "po AS (" + _WEIGH.format(g="", k1="1.5::DOUBLE", b="0.75::DOUBLE", grid="") + ")"
+_PO = "po AS MATERIALIZED (" + _WEIGH.format(g="", k1="1.5::DOUBLE", b="0.75::DOUBLE", grid="") + ")"
 _QT = f"""atm AS (SELECT DISTINCT article_id, unnest(list_concat({TOK.format("title")}, {TOK.format("abstract")})) term FROM art),
-qt AS (SELECT impression_id, split, term, sum(weight) qw FROM hst JOIN atm USING (article_id) GROUP BY 1, 2, 3)"""
-_LEX = """sc AS (SELECT impression_id, article_id, sum(qw * weight) s FROM (SELECT DISTINCT impression_id, article_id FROM cnd WHERE split = 'val') JOIN po USING (article_id) JOIN qt USING (impression_id, term) GROUP BY 1, 2)"""
+qt AS MATERIALIZED (SELECT impression_id, split, term, sum(weight) qw FROM hst JOIN atm USING (article_id) GROUP BY 1, 2, 3)"""
+_LEX = """sc AS MATERIALIZED (SELECT impression_id, article_id, sum(qw * weight) s FROM (SELECT DISTINCT impression_id, article_id FROM cnd) JOIN po USING (article_id) JOIN qt USING (impression_id, term) GROUP BY 1, 2)"""
+_ENT = """ae AS (SELECT DISTINCT article_id, unnest(entities) e FROM art), qe AS (SELECT impression_id, e, sum(weight) qw FROM hst JOIN ae USING (article_id) GROUP BY 1, 2),
+ex AS MATERIALIZED (SELECT impression_id, article_id, sum(qw) x FROM (SELECT DISTINCT impression_id, article_id FROM cnd) JOIN ae USING (article_id) JOIN qe USING (impression_id, e) GROUP BY 1, 2)"""
 _LEXICAL = with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, _PO, _QT, _LEX)
 _FOUND = """fo AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY round(score, 9) DESC, article_id) AS INTEGER) AS rank FROM (SELECT impression_id, article_id, sum(qw * weight) score FROM qt JOIN po USING (term) WHERE impression_id % 50 = 0 GROUP BY 1, 2)) WHERE rank <= {k})"""
-_UV = """up AS (SELECT impression_id, split, d, sum(weight * x) / sum(weight) m FROM (SELECT impression_id, split, weight, unnest(vec) x, generate_subscripts(vec, 1) d FROM hst JOIN vec USING (article_id)) GROUP BY 1, 2, 3),
-uv AS (SELECT impression_id, split, d - 1 dim, m / sqrt(sum(m * m) OVER (PARTITION BY impression_id)) x FROM up)"""
 _LAST = (
     "la AS (SELECT impression_id, candidate_article_id article_id, label, candidate_position pos, scored_at, " + ", ".join(f"CASE WHEN isnan({m}) THEN NULL ELSE {m} END {m}" for m in METHODS)
-    + " FROM candidate_features WHERE split = 'val'),\nlt AS (SELECT impression_id, article_id, label, pos, " + ", ".join(f"coalesce({m}, 0.0) {m}" for m in METHODS)
+    + " FROM candidate_features WHERE split = 'val'),\nlt AS MATERIALIZED (SELECT impression_id, article_id, label, pos, " + ", ".join(f"coalesce({m}, 0.0) {m}" for m in METHODS)
     + " FROM la QUALIFY row_number() OVER (PARTITION BY impression_id, article_id ORDER BY scored_at DESC NULLS LAST, " + ", ".join(f"la.{m} DESC NULLS LAST" for m in METHODS) + ", pos) = 1)"
 )
 
@@ -329,7 +337,7 @@ def _metric_sql(source: str, keys: str) -> str:
     """mt(keys, auc, mrr, ndcg5, ndcg10) over source(keys, label, pos, score)."""
     return f"""mr AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2.0 ar, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, pos) rk,
     row_number() OVER (PARTITION BY {keys} ORDER BY label DESC) il FROM {source} WHERE label IS NOT NULL),
-mt AS (SELECT {keys}, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(label * ar) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))::DOUBLE END auc,
+mt AS MATERIALIZED (SELECT {keys}, CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(label * ar) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))::DOUBLE END auc,
     CASE WHEN sum(label) > 0 THEN sum(label / rk) / sum(label) END mrr,
     CASE WHEN sum(label) > 0 THEN sum(CASE WHEN rk <= 5 THEN label / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN il <= 5 THEN label / log2(il + 1) ELSE 0 END) END ndcg5,
     CASE WHEN sum(label) > 0 THEN sum(CASE WHEN rk <= 10 THEN label / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN il <= 10 THEN label / log2(il + 1) ELSE 0 END) END ndcg10 FROM mr GROUP BY {keys})"""
@@ -350,24 +358,47 @@ def _boot(source: str, value: str) -> str:
 bt AS (SELECT b, sum(v * c) / sum(c) m FROM dr WHERE c > 0 GROUP BY 1)"""
 
 
+_COPIES = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in _CUTS)
+_SCORED = _LEXICAL + f""", {_ENT}, {VEC}, {POOLED},
+eb AS (SELECT c.*, round(coalesce(s, 0.0) + coalesce(x, 0.0), 9) bm25_score, round(coalesce(list_dot_product(u, vec), 0.0), 9) semantic_score FROM cnd c LEFT JOIN sc USING (impression_id, article_id) LEFT JOIN ex USING (impression_id, article_id) LEFT JOIN vec USING (article_id) LEFT JOIN ul USING (impression_id)),
+ec AS (SELECT *, min(bm25_score) OVER w b0, max(bm25_score) OVER w b1, min(semantic_score) OVER w s0, max(semantic_score) OVER w s1 FROM eb WINDOW w AS (PARTITION BY impression_id)),
+es AS MATERIALIZED (SELECT impression_id, pos, article_id, label, split, bm25_score, semantic_score, round(0.7::DOUBLE * CASE WHEN s1 > s0 THEN (semantic_score - s0) / (s1 - s0) ELSE 0.0 END + (1.0::DOUBLE - 0.7::DOUBLE) * CASE WHEN b1 > b0 THEN (bm25_score - b0) / (b1 - b0) ELSE 0.0 END, 9) fusion_score FROM ec),
+ek AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, impression_id, pos, article_id, label, split, {m} score FROM es" for m in recommend.SCORES)})
+"""
+
+
+def _figures_sql(source: str) -> str:
+    """tk: the best ten of source(method, impression_id, pos, article_id, label, score); pi: its six metrics."""
+    return _metric_sql(source, "method, impression_id") + f""",
+tk AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, impression_id ORDER BY score DESC, pos) rk FROM {source}) WHERE rk <= 10),
+dx AS (SELECT method, impression_id, d, sum(x) s, sum(x * x) q, count(*) n FROM (SELECT method, impression_id, unnest(vec) x, generate_subscripts(vec, 1) d FROM tk JOIN vec USING (article_id)) GROUP BY 1, 2, 3),
+dv AS (SELECT method, impression_id, CASE WHEN max(n) >= 2 THEN 1.0 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) END diversity FROM dx GROUP BY 1, 2),
+kc AS (SELECT article_id, coalesce(c, 0) c FROM art LEFT JOIN (SELECT article_id, count(*) FILTER (label = 1) c FROM cnd WHERE split = 'train' GROUP BY 1) USING (article_id)),
+kp AS MATERIALIZED (SELECT article_id, (c + 1) / (SELECT sum(c) + count(*) FROM kc)::DOUBLE p FROM kc),
+nv AS (SELECT method, impression_id, avg(-log2(coalesce(p, (SELECT min(p) FROM kp)))) novelty FROM tk LEFT JOIN kp USING (article_id) GROUP BY 1, 2),
+pi AS MATERIALIZED (SELECT mt.*, diversity, novelty FROM mt LEFT JOIN dv USING (method, impression_id) LEFT JOIN nv USING (method, impression_id))"""
+
+
 SQL = {
     "token_counts": with_(ART, _FT) + "SELECT * FROM ft",
     "vocab_df_filter": with_(ART, _FT, _VOC) + "SELECT * FROM voc",
     "bm25f_postings": with_(ART, _FT, _VOC, _ST, _PO) + "SELECT article_id, term, round(weight, 6) weight FROM po",
     "query_terms": with_(ART, IMP, HIST, _QT) + "SELECT impression_id, term, round(qw, 6) qw FROM qt WHERE split = 'val'",
-    "bm25f_restricted": _LEXICAL + "SELECT impression_id, pos, article_id, round(coalesce(s, 0.0), 6) bm25_score FROM cnd LEFT JOIN sc USING (impression_id, article_id) WHERE split = 'val'",
-    "entity_boost": _LEXICAL + """, ae AS (SELECT DISTINCT article_id, unnest(entities) e FROM art), qe AS (SELECT impression_id, e, sum(weight) qw FROM hst JOIN ae USING (article_id) GROUP BY 1, 2),
-x AS (SELECT impression_id, article_id, sum(qw) x FROM (SELECT DISTINCT impression_id, article_id FROM cnd WHERE split = 'val') JOIN ae USING (article_id) JOIN qe USING (impression_id, e) GROUP BY 1, 2)
-SELECT impression_id, pos, article_id, round(coalesce(s, 0.0) + coalesce(x, 0.0), 6) bm25_score FROM cnd LEFT JOIN sc USING (impression_id, article_id) LEFT JOIN x USING (impression_id, article_id) WHERE split = 'val'""",
+    "bm25f_restricted": _LEXICAL + "SELECT impression_id, pos, article_id, round(coalesce(s, 0.0), 6) bm25_score FROM cnd LEFT JOIN sc USING (impression_id, article_id)",
+    "entity_boost": _LEXICAL + f", {_ENT} SELECT impression_id, pos, article_id, round(coalesce(s, 0.0) + coalesce(x, 0.0), 6) bm25_score FROM cnd LEFT JOIN sc USING (impression_id, article_id) LEFT JOIN ex USING (impression_id, article_id)",
+    "bm25f_corpus_scores": with_(ART, IMP, HIST, _FT, _VOC, _ST, _PO, _QT) + "SELECT impression_id, article_id, round(sum(qw * weight), 6) score FROM qt JOIN po USING (term) WHERE impression_id % 50 = 0 GROUP BY 1, 2",
     "bm25f_topk": with_(ART, IMP, HIST, _FT, _VOC, _ST, _PO, _QT, _FOUND.format(k=50)) + "SELECT impression_id, rank, article_id, round(score, 6) score FROM fo",
-    "user_vector_pool": with_(ART, IMP, HIST, VEC, _UV) + "SELECT impression_id, CAST(dim AS INTEGER) dim, round(x, 5) x FROM uv WHERE dim < 4",
-    "cosine_candidates": with_(ART, IMP, CND, HIST, VEC, _UV) + """, ul AS (SELECT impression_id, list(x ORDER BY dim) u FROM uv GROUP BY 1)
-SELECT impression_id, pos, article_id, round(coalesce(list_dot_product(u, vec), 0.0), 5) semantic_score FROM cnd LEFT JOIN vec USING (article_id) LEFT JOIN ul USING (impression_id) WHERE split = 'val'""",
+    "user_vector_pool": with_(ART, IMP, HIST, VEC, POOLED) + "SELECT impression_id, CAST(dim AS INTEGER) dim, round(x, 6) x FROM uv",
+    "cosine_candidates": with_(ART, IMP, CND, HIST, VEC, POOLED) + "SELECT impression_id, pos, article_id, round(coalesce(list_dot_product(u, vec), 0.0), 6) semantic_score FROM cnd LEFT JOIN vec USING (article_id) LEFT JOIN ul USING (impression_id)",
     "cosine_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)
 SELECT vec_id, rank, near_id, round(s, 6) score FROM (SELECT a.vec_id, b.vec_id near_id, list_dot_product(a.v, b.v) s, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank FROM e a, e b WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
-    "entity_fusion": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) l FROM e),
-f AS (SELECT a.vec_id, a.v, b.v w, a.l la, b.l lb FROM n a JOIN n b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM e))
-SELECT f.vec_id, round((list_dot_product(f.v, g.v) / (f.la * g.la) + 0.25 * list_dot_product(f.w, g.w) / (f.lb * g.lb)) / 1.25, 5) likeness FROM f, (SELECT * FROM f WHERE vec_id = 0) g""",
+    "entity_fusion": with_(ART, VEC) + """, n AS (SELECT count(*) n FROM embeddings), en AS (SELECT DISTINCT article_id, unnest(entities) e FROM art),
+ev AS (SELECT e, CAST(embedding AS DOUBLE[]) v FROM (SELECT e, CAST('0x' || substr(md5(e), 1, 8) AS BIGINT) % n vec_id FROM (SELECT DISTINCT e FROM en WHERE e IS NOT NULL), n) JOIN embeddings USING (vec_id)),
+em AS (SELECT article_id, d, avg(x) m FROM (SELECT article_id, unnest(v) x, generate_subscripts(v, 1) d FROM en JOIN ev USING (e)) GROUP BY 1, 2),
+el AS (SELECT article_id, d, m / sqrt(sum(m * m) OVER (PARTITION BY article_id)) x FROM em),
+cv AS (SELECT article_id, unnest(vec) x, generate_subscripts(vec, 1) d, len(vec) k, sqrt(list_dot_product(vec, vec)) l FROM vec),
+bo AS (SELECT article_id, d - 1 dim, x / l x FROM cv UNION ALL SELECT c.article_id, c.k + c.d - 1, coalesce(el.x, 0.0) FROM cv c LEFT JOIN el ON el.article_id = c.article_id AND el.d = c.d)
+SELECT article_id, CAST(dim AS INTEGER) dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY article_id)), 6) x FROM bo""",
     "minmax_fusion": with_(_LAST) + """, m AS (SELECT *, min(bm25_score) OVER w b0, max(bm25_score) OVER w b1, min(semantic_score) OVER w s0, max(semantic_score) OVER w s1 FROM lt WINDOW w AS (PARTITION BY impression_id))
 SELECT impression_id, article_id, round(0.7::DOUBLE * CASE WHEN s1 > s0 THEN (semantic_score - s0) / (s1 - s0) ELSE 0.0 END + (1.0::DOUBLE - 0.7::DOUBLE) * CASE WHEN b1 > b0 THEN (bm25_score - b0) / (b1 - b0) ELSE 0.0 END, 6) fused FROM m""",
     "ranking_metrics": with_(_LAST, _STK, _metric_sql("sk", "method, impression_id")) + f"SELECT method, impression_id, {_P} FROM mt",
@@ -380,20 +411,52 @@ SELECT impression_id, article_id, round(0.7::DOUBLE * CASE WHEN s1 > s0 THEN (se
 g AS (SELECT impression_id, max(CASE WHEN label = 1 THEN coalesce(n, 0) END) m FROM cnd LEFT JOIN e USING (article_id) WHERE split = 'val' GROUP BY 1)
 SELECT impression_id, CASE WHEN m IS NULL THEN 'none' WHEN m >= (SELECT quantile_cont(n, 0.8) FROM e) THEN 'head' ELSE 'tail' END slice FROM g""",
     "diversity": with_(ART, _LAST, _TOP10, VEC) + """, x AS (SELECT impression_id, d, sum(x) s, sum(x * x) q, count(*) n FROM (SELECT impression_id, unnest(vec) x, generate_subscripts(vec, 1) d FROM tp JOIN vec USING (article_id)) GROUP BY 1, 2)
-SELECT impression_id, round(CASE WHEN max(n) >= 2 THEN 1.0 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) END, 5) diversity FROM x GROUP BY 1""",
+SELECT impression_id, round(CASE WHEN max(n) >= 2 THEN 1.0 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) END, 6) diversity FROM x GROUP BY 1""",
     "novelty": with_(ART, IMP, CND, _LAST, _TOP10) + """, k AS (SELECT article_id, coalesce(c, 0) c FROM art LEFT JOIN (SELECT article_id, count(*) FILTER (label = 1) c FROM cnd WHERE split = 'train' GROUP BY 1) USING (article_id)),
 p AS (SELECT article_id, (c + 1) / (SELECT sum(c) + count(*) FROM k)::DOUBLE p FROM k)
 SELECT impression_id, round(avg(-log2(coalesce(p, (SELECT min(p) FROM p)))), 6) novelty FROM tp LEFT JOIN p USING (article_id) GROUP BY 1""",
     "coverage": with_(ART, _LAST, _TOP10) + "SELECT round(count(DISTINCT article_id) / (SELECT count(*) FROM art), 6) coverage FROM tp",
     "recall_at_k": with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, _PO, _QT, _FOUND.format(k=200), _RC) + "SELECT impression_id, k, round(recall, 6) recall FROM rc",
-    "recall_report": with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, _PO, _QT, _FOUND.format(k=200), _RC, _SLI) + "SELECT k, slice, count(*) n, round(avg(recall), 6) recall FROM (SELECT rc.*, slice FROM rc JOIN sl USING (impression_id) UNION ALL SELECT *, 'overall' FROM rc) GROUP BY 1, 2",
+    "recall_report": with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, _PO, _QT, VEC, POOLED, _FOUND.format(k=200), _SLI) + """,
+se AS (SELECT impression_id, article_id, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY round(s, 9) DESC, article_id) AS INTEGER) AS rank FROM (SELECT impression_id, article_id, list_dot_product(u, vec) s FROM ul, vec WHERE impression_id % 50 = 0)),
+al AS (SELECT 'bm25' AS method, impression_id, article_id, rank FROM fo UNION ALL SELECT 'semantic', impression_id, article_id, rank FROM se WHERE rank <= 200),
+tr AS (SELECT DISTINCT impression_id, article_id, method FROM cnd JOIN art USING (article_id), (VALUES ('bm25'), ('semantic')) m(method) WHERE label = 1 AND impression_id % 50 = 0),
+rc AS (SELECT method, impression_id, k, sum(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END) / count(*) recall FROM tr LEFT JOIN al USING (method, impression_id, article_id), (VALUES (50), (100), (200)) ks(k) GROUP BY 1, 2, 3),
+rp AS (SELECT method, k, slice, count(*) n, round(avg(recall), 6) recall FROM (SELECT rc.*, slice FROM rc JOIN sl USING (impression_id) UNION ALL SELECT *, 'overall' FROM rc) GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY k, slice ORDER BY recall DESC, method) = 1 better FROM rp""",
     "bootstrap_mean": with_(_LAST, _FUS, _metric_sql("sc", "impression_id"), _boot("mt", "auc")) + "SELECT (SELECT round(avg(auc), 6) FROM mt) mean, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi, (SELECT count(auc) FROM mt) n FROM bt",
     "bootstrap_paired_delta": with_(_LAST, _STK, _metric_sql("sk", "method, impression_id"), "pd AS (SELECT a.impression_id, b.auc - a.auc dl FROM mt a JOIN mt b USING (impression_id) WHERE a.method = 'fusion_score' AND b.method = 'reranker_score')", _boot("pd", "dl")) + ", q AS (SELECT quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM bt) SELECT (SELECT round(avg(dl), 6) FROM pd) delta, round(lo, 6) lo, round(hi, 6) hi, (SELECT count(dl) FROM pd) n, lo > 0 OR hi < 0 excludes_zero FROM q",
     "bootstrap_coverage": with_(ART, _LAST, _TOP10) + f""", dr AS (SELECT b, article_id, {uniform_sql("impression_id", "b")} u FROM tp, range(0, {N_BOOT}) r(b)),
 c AS (SELECT b, count(DISTINCT article_id) / (SELECT count(*) FROM art) c FROM dr WHERE u >= {_CUTS[0]} GROUP BY 1)
 SELECT (SELECT round(count(DISTINCT article_id) / (SELECT count(*) FROM art), 6) FROM tp) coverage, round(quantile_cont(c, 0.025), 6) lo, round(quantile_cont(c, 0.975), 6) hi FROM c""",
-    "bm25_grid": with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, "gr AS (SELECT CAST(k1 AS DOUBLE) k1, CAST(b AS DOUBLE) b FROM (VALUES (1.2), (1.5), (2.2)) x(k1), (VALUES (0.6), (0.75), (0.9)) y(b))", "po AS (" + _WEIGH.format(g="k1, b,", k1="k1", b="b", grid=", gr") + ")", _QT) + """,
-g AS (SELECT k1, b, impression_id, article_id, sum(qw * weight) s FROM (SELECT DISTINCT impression_id, article_id FROM cnd WHERE split = 'val') JOIN po USING (article_id) JOIN qt USING (impression_id, term) GROUP BY 1, 2, 3, 4),
+    "bm25_grid": with_(ART, IMP, CND, HIST, _FT, _VOC, _ST, "gr AS (SELECT CAST(k1 AS DOUBLE) k1, CAST(b AS DOUBLE) b FROM (VALUES (1.0), (1.2), (1.5), (1.8), (2.2)) x(k1), (VALUES (0.3), (0.5), (0.75), (0.9)) y(b))", "po AS MATERIALIZED (" + _WEIGH.format(g="k1, b,", k1="k1", b="b", grid=", gr") + ")", _QT) + """,
+g AS MATERIALIZED (SELECT k1, b, impression_id, article_id, sum(qw * weight) s FROM (SELECT DISTINCT impression_id, article_id FROM cnd WHERE split = 'val') JOIN po USING (article_id) JOIN qt USING (impression_id, term) GROUP BY 1, 2, 3, 4),
 sc AS (SELECT gr.k1, gr.b, c.impression_id, c.label, c.pos, round(coalesce(g.s, 0.0), 9) score FROM cnd c CROSS JOIN gr LEFT JOIN g ON g.k1 = gr.k1 AND g.b = gr.b AND g.impression_id = c.impression_id AND g.article_id = c.article_id WHERE c.split = 'val'),
-""" + _metric_sql("sc", "k1, b, impression_id") + " SELECT k1, b, round(avg(auc), 6) auc, count(auc) n FROM mt GROUP BY 1, 2",
+""" + _metric_sql("sc", "k1, b, impression_id") + ", rs AS (SELECT k1, b, round(avg(auc), 6) auc, count(auc) n FROM mt GROUP BY 1, 2) SELECT *, row_number() OVER (ORDER BY auc DESC NULLS LAST, k1, b) = 1 best FROM rs",
+    "retrieval_scores": _SCORED + "SELECT impression_id, pos, article_id, round(bm25_score, 6) bm25_score, round(semantic_score, 6) semantic_score, round(fusion_score, 6) fusion_score FROM es",
+    "prediction_pass": _SCORED + """, r AS (SELECT method, impression_id, pos, row_number() OVER (PARTITION BY method, impression_id ORDER BY score DESC, pos) rk FROM ek WHERE split = 'test')
+SELECT method, impression_id, concat(impression_id, ' [', string_agg(CAST(rk AS VARCHAR), ',' ORDER BY pos), ']') line FROM r GROUP BY 1, 2""",
+    "evaluation_report": _SCORED + ", vk AS MATERIALIZED (SELECT method, impression_id, pos, article_id, label, score FROM ek WHERE split = 'val'), " + _figures_sql("vk") + f""", {_SLI},
+sn AS (SELECT impression_id, unnest(['overall', slice]) slice FROM sl),
+lp AS MATERIALIZED (SELECT method, slice, impression_id, unnest([{", ".join(f"'{m}'" for m in recommend.SIX)}]) metric, unnest([{", ".join(recommend.SIX)}]) v FROM pi JOIN sn USING (impression_id)),
+dw AS MATERIALIZED (SELECT impression_id, b, {_COPIES} c FROM (SELECT DISTINCT impression_id FROM vk), (SELECT range b FROM range(0, {N_BOOT})), LATERAL (SELECT {uniform_sql("impression_id", "b")} u)),
+bs AS (SELECT method, slice, metric, b, sum(v * c) / sum(c) m FROM lp JOIN dw USING (impression_id) WHERE v IS NOT NULL AND c > 0 GROUP BY 1, 2, 3, 4),
+bq AS (SELECT method, slice, metric, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM bs GROUP BY 1, 2, 3),
+pt AS (SELECT method, slice, metric, avg(v) mean, count(v) n FROM lp GROUP BY 1, 2, 3),
+ct AS MATERIALIZED (SELECT method, slice, impression_id, article_id FROM tk JOIN art USING (article_id) JOIN sn USING (impression_id)),
+cb AS (SELECT method, slice, b, count(DISTINCT article_id) / (SELECT count(*) FROM art) m FROM ct JOIN dw USING (impression_id) WHERE c > 0 GROUP BY 1, 2, 3),
+cq AS (SELECT method, slice, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM cb GROUP BY 1, 2),
+cp AS (SELECT method, slice, count(DISTINCT article_id) / (SELECT count(*) FROM art) mean, count(DISTINCT impression_id) n FROM ct GROUP BY 1, 2)
+SELECT method, slice, metric, round(mean, 6) mean, round(lo, 6) lo, round(hi, 6) hi, n FROM pt JOIN bq USING (method, slice, metric)
+UNION ALL SELECT method, slice, 'coverage', round(mean, 6), round(lo, 6), round(hi, 6), n FROM cp JOIN cq USING (method, slice)""",
+    "reranker_report": with_(ART, IMP, CND, VEC, _LAST, "vk AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{m}' AS method, impression_id, pos, article_id, label, {m} score FROM lt" for m in ("fusion_score", "reranker_score")) + ")", _figures_sql("vk"), _SLI) + f""",
+e AS (SELECT article_id, coalesce(n, 0) n FROM art LEFT JOIN (SELECT article_id, count(*) n FROM cnd WHERE split = 'train' GROUP BY 1) USING (article_id)),
+g AS (SELECT impression_id, max(CASE WHEN label = 1 THEN coalesce(n, 0) END) m FROM cnd LEFT JOIN e USING (article_id) WHERE split = 'val' GROUP BY 1),
+sn AS (SELECT impression_id, slice FROM sl UNION ALL SELECT impression_id, 'overall' FROM sl UNION ALL SELECT impression_id, CASE WHEN m >= (SELECT quantile_cont(n, 0.8) FROM e) THEN 'head' ELSE 'tail' END FROM g WHERE m IS NOT NULL),
+lf AS (SELECT method, impression_id, unnest([{", ".join(f"'{m}'" for m in recommend.SIX)}]) metric, unnest([{", ".join(recommend.SIX)}]) v FROM pi),
+pr AS MATERIALIZED (SELECT slice, metric, impression_id, x.v bv, y.v av, y.v - x.v dl FROM lf x JOIN lf y USING (impression_id, metric) JOIN sn USING (impression_id) WHERE x.method = 'fusion_score' AND y.method = 'reranker_score'),
+dw AS MATERIALIZED (SELECT impression_id, b, {_COPIES} c FROM (SELECT DISTINCT impression_id FROM vk), (SELECT range b FROM range(0, {N_BOOT})), LATERAL (SELECT {uniform_sql("impression_id", "b")} u)),
+bs AS (SELECT slice, metric, b, sum(dl * c) / sum(c) m FROM pr JOIN dw USING (impression_id) WHERE dl IS NOT NULL AND c > 0 GROUP BY 1, 2, 3),
+bq AS (SELECT slice, metric, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM bs GROUP BY 1, 2)
+SELECT slice, metric, round(avg(bv), 6) "before", round(avg(av), 6) "after", round(avg(dl), 6) delta, round(max(lo), 6) lo, round(max(hi), 6) hi, count(dl) n, max(lo) > 0 OR max(hi) < 0 excludes_zero FROM pr JOIN bq USING (slice, metric) GROUP BY 1, 2""",
 }
