@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.asof import known_attributes, known_versions
 from newsloom.operators.hot_keys import key_quantiles
-from newsloom.operators.packed import one_per_record, unpack
+from newsloom.operators.packed import one_per_record, unpack, unpack_values
 from newsloom.operators.sessions import sessions_from_log
 from newsloom.session import table
 
@@ -31,11 +31,25 @@ def p2_key_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d, None).select("key_kind", "key_value", "n_rows", "n_values", *q)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str, read) -> DataFrame:
     b = one_per_record(table(spark, d, "behaviors"), "impression_id", ["impressions", "history"], "ingested_time")
     a = one_per_record(table(spark, d, "articles"), "article_id", ["subcategory"])
-    out = unpack(b, "impression_id", "impressions", "ids").unionByName(unpack(b, "impression_id", "history", "ids")).unionByName(unpack(a, "article_id", "subcategory", "names"))
-    return out.select("field", "record_id", "pos", "val")
+    return read(b, "impression_id", "impressions", "ids").unionByName(read(b, "impression_id", "history", "ids")).unionByName(read(a, "article_id", "subcategory", "names"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, unpack_values).select("field", "record_id", "pos", "val")
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """All values with the errors of text and value."""
+    return _packed(spark, d, unpack)
+
+
+def p4_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The two lists of ids, which SQL can read as well."""
+    b = one_per_record(table(spark, d, "behaviors"), "impression_id", ["impressions", "history"], "ingested_time")
+    return unpack_values(b, "impression_id", "impressions", "ids").unionByName(unpack_values(b, "impression_id", "history", "ids"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +74,7 @@ def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d).select("user_id", "session_start", "session_end", F.round("duration_s", 6).alias("duration_s"), "n_impressions", "first_impression_id", "last_impression_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_quantiles, p4_found, p5_found, p5_attributes, p6_found, p6_sessions)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_quantiles, p4_found, p4_values, p4_ids, p5_found, p5_attributes, p6_found, p6_sessions)}
 
 _ONE_EVENT = "SELECT impression_id, min(impression_time) impression_time, min(user_id) user_id, min(session_id) session_id, min(article_id) article_id FROM behaviors WHERE impression_id IS NOT NULL AND impression_time IS NOT NULL GROUP BY 1"
 _KNOWN = f"""
@@ -91,6 +105,11 @@ WITH l AS (
 SELECT key_kind, key_value, count(*) n_rows, count(v) n_values,
   round(quantile_disc(v, 0.25), 6) q25, round(quantile_disc(v, 0.5), 6) q50, round(quantile_disc(v, 0.75), 6) q75
 FROM l GROUP BY 1, 2""",
+    "p4_ids": " UNION ALL ".join(
+        f"""SELECT '{f}' field, CAST(impression_id AS VARCHAR) record_id, CAST(generate_subscripts(v, 1) AS INTEGER) pos, unnest(v) val
+FROM (SELECT impression_id, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_\\-]+') v FROM (SELECT impression_id, arg_min({f}, (ingested_time, {f})) t FROM (SELECT * REPLACE (coalesce(ingested_time, '1500-01-01'::TIMESTAMP) AS ingested_time) FROM behaviors) WHERE impression_id IS NOT NULL AND {f} IS NOT NULL GROUP BY 1))"""
+        for f in ("impressions", "history")
+    ),
     "p5_found": _KNOWN + "SELECT impression_id, entity_kind, version_id FROM r WHERE rn = 1",
     "p5_attributes": _KNOWN
     + """SELECT impression_id, round(max(CASE WHEN entity_kind = 'user' THEN user_avg_past_read_time END), 6) user_avg_past_read_time,

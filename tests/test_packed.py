@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators.packed import one_per_record, parse_error, parse_values, unpack
+from newsloom.operators.packed import one_per_record, parse_error, parse_flagged, parse_values, unpack
 
 NAMES = [
     (None, []), ("", []), ("  ", []), ("[]", []), ('""', []), (",,;", []),
@@ -95,3 +95,25 @@ def test_repeats_and_long_text(spark):
     many = " ".join(f'"n ""{k}"""' for k in range(60_000)) + ',"' + "x,""" * 100_000
     n = spark.createDataFrame([(many,)], "t string").select(F.size(parse_values(F.col("t"))).alias("n")).first().n
     assert n >= 60_000
+
+
+FLAGS = [
+    ("[a, b}", [("a", "bracket"), ("b", "bracket")]), ("]a, b[", [("a", "bracket"), ("b", "bracket")]), ("'a, b", [("a", "quote"), ("b", None)]), ('a", b', [("a", "quote"), ("b", None)]),
+    ('x, "b c|d', [("x", None), ("b c", "quote"), ("d", None)]), ("[a, [b], (c; {d})]", [("a", None), ("b", None), ("c", None), ("d", None)]), ("(a, b", [("a", "bracket"), ("b", None)]),
+    ('["x ]", y]', [("x ]", None), ("y", None)]), ('coast"rail | road"', [("coast", None), ("rail | road", None)]), ('["a, b]', [("a", "quote"), ("b", None)]), ('"', []), ("[[]", []), ("women's cup", [("women's cup", None)]),
+]
+ID_FLAGS = [
+    ('"N1|N2"', [("N1", None), ("N2", None)]), ('"N1-0,N2-0', [("N1-0", "quote"), ("N2-0", None)]), ("[N1, N2", [("N1", "bracket"), ("N2", None)]), ("['N1','N2']", [("N1", None), ("N2", None)]),
+    ("('N1 N2', [N3])", [("N1", None), ("N2", None), ("N3", None)]), ('N1", N2', [("N1", "quote"), ("N2", None)]), ("{N1]", [("N1", "bracket")]),
+]
+
+
+@pytest.mark.parametrize("grammar,cases", [("names", FLAGS), ("ids", ID_FLAGS)])
+def test_flags_come_from_the_parse(spark, grammar, cases):
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    rows = d.select("i", parse_flagged(F.col("t"), grammar).alias("v"), parse_values(F.col("t"), grammar).alias("w"), parse_error(F.col("t"), grammar).alias("e")).collect()
+    for r in rows:
+        text, want = cases[r.i]
+        assert [tuple(x) for x in r.v] == want and r.w == [v for v, _ in want], text
+        flags = {f for _, f in want if f}
+        assert (r.e in flags if flags else r.e is None or not want), (text, r.e)
