@@ -1,7 +1,8 @@
 """Attributes as they were known at event time.
 
 Method: periodic as-known snapshots plus change logs. Time is cut into periods at quantiles of the
-event times, so no period holds more than its share of the events. A version takes effect once it
+event times, and these evenly into as many more as the number of rows asks for, so the rows of an
+entity in a period stay few however many there are in all. A version takes effect once it
 is both valid and recorded. For every entity and period in which it has events a snapshot row is
 materialised, the best version known when the period began; an event takes the snapshot of its
 period and replays only the changes of that period that came before it.
@@ -12,6 +13,8 @@ pairs, and a hot entity is spread over all periods.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,11 +22,38 @@ from pyspark.sql import functions as F
 from newsloom.shared import drop_path, micros, new_path, store
 
 
-def period(t: Column, bounds: list[int]) -> Column:
-    """Number of period starts at or before t."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= t))
+#: rows that a period should hold
+PERIOD_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Periods:
+    """Cuts of time: ``edges`` at quantiles, each span between them in ``parts`` of equal length."""
+
+    edges: tuple[int, ...] = ()
+    parts: int = 1
+
+    def number(self, t: Column) -> Column:
+        """Number of the period of t; it never falls as t rises. A NULL time is in the first."""
+        if len(self.edges) < 2:
+            return F.lit(0).cast("long")
+        edges = F.array(*[F.lit(e).cast("long") for e in self.edges])
+        k = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in self.edges[1:-1]]).cast("array<bigint>"), lambda e: e <= t))
+        if self.parts == 1:
+            return k.cast("long")
+        lo, hi = edges[k], edges[k + 1]
+        part = F.floor((t - lo) / F.greatest(hi - lo, F.lit(1)) * F.lit(float(self.parts))).cast("long")
+        return k * F.lit(self.parts).cast("long") + F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(self.parts - 1)), F.lit(0))
+
+
+def cut_periods(rows: DataFrame, t: str, spans: int = 64, period_rows: int = PERIOD_ROWS) -> Periods:
+    """Periods for the times in column ``t``, from one pass over them."""
+    qs = [i / spans for i in range(1, spans)]
+    c = rows.agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"), *([F.percentile_approx(t, qs, 10000).alias("q")] if qs else [])).first()
+    if c["lo"] is None:
+        return Periods()
+    edges = sorted({int(x) for x in (c["lo"], *(c["q"] if qs else []), c["hi"])})
+    return Periods(tuple(edges), max(1, -(-c["n"] // (max(1, len(edges) - 1) * period_rows))))
 
 
 def known_versions(
@@ -32,7 +62,8 @@ def known_versions(
     event_id: str,
     event_time: str,
     entities: dict[str, str],
-    periods: int = 64,
+    spans: int = 64,
+    period_rows: int = PERIOD_ROWS,
     kind: str = "entity_kind",
     entity: str = "entity_id",
     valid_from: str = "valid_from",
@@ -57,18 +88,15 @@ def known_versions(
         return store(d, paths[-1])
 
     ev = events.select(F.col(event_id).alias("e"), micros(event_time).alias("t"), *[F.col(c).cast("string").alias(f"k_{i}") for i, c in enumerate(entities.values())]).where("e IS NOT NULL AND t IS NOT NULL")
-    bounds: list[int] = []
-    if periods > 1:
-        cut = ev.agg(F.percentile_approx("t", [i / periods for i in range(1, periods)], 10000)).first()[0]
-        bounds = sorted({int(x) for x in cut or []})
+    cuts = cut_periods(ev, "t", spans, period_rows)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{i}").alias("id")) for i, k in enumerate(entities)])
     ev = ev.select("e", "t", F.explode(kinds).alias("x")).select("e", "t", "x.kind", "x.id").where("id IS NOT NULL")
     # Repeats merge before the shuffle.
-    ev = keep(ev.groupBy("e", "kind").agg(F.min("t").alias("t"), F.min_by("id", F.struct("t", "id")).alias("id")).withColumn("period", period(F.col("t"), bounds)), "p5-events")
+    ev = keep(ev.groupBy("e", "kind").agg(F.min("t").alias("t"), F.min_by("id", F.struct("t", "id")).alias("id")).withColumn("period", cuts.number(F.col("t"))), "p5-events")
 
     change = F.struct(micros(valid_from).alias("vf"), micros(recorded_at).alias("ra"), F.col(version).cast("long").alias("ver"))
     log = versions.where(F.col(kind).isin(*entities)).select(F.col(kind).alias("kind"), F.col(entity).cast("string").alias("id"), change.alias("c")).where("id IS NOT NULL AND c.vf IS NOT NULL AND c.ra IS NOT NULL AND c.ver IS NOT NULL")
-    log = log.withColumn("t", F.greatest("c.vf", "c.ra")).withColumn("period", period(F.col("t"), bounds))
+    log = log.withColumn("t", F.greatest("c.vf", "c.ra")).withColumn("period", cuts.number(F.col("t")))
 
     # Snapshots: the running best of the periods before, for the periods that have events. An
     # entity has at most two rows per period here.
@@ -93,12 +121,12 @@ def known_versions(
     return out.select(F.col("e").alias(event_id), F.col("kind").alias("entity_kind"), F.col("k.ver").alias("version_id"))
 
 
-def known_attributes(events: DataFrame, versions: DataFrame, event_id: str, event_time: str, entities: dict[str, str], values: dict[str, str], periods: int = 64) -> DataFrame:
+def known_attributes(events: DataFrame, versions: DataFrame, event_id: str, event_time: str, entities: dict[str, str], values: dict[str, str], spans: int = 64, period_rows: int = PERIOD_ROWS) -> DataFrame:
     """One row per event that has a known version: ``event_id`` and the value column of each kind.
     ``values`` maps a kind to its column in ``versions``. A known version with a NULL value gives
     NULL, as does an entity without a known version. Of versions sharing an id the greatest value
     counts."""
-    k = known_versions(events, versions, event_id, event_time, entities, periods)
+    k = known_versions(events, versions, event_id, event_time, entities, spans, period_rows)
     pick = F.coalesce(*[F.when(F.col("entity_kind") == kd, F.col(c).cast("double")) for kd, c in values.items()])
     v = versions.select("entity_kind", "version_id", pick.alias("val")).groupBy("entity_kind", "version_id").agg(F.max("val").alias("val"))
     j = k.join(v, ["entity_kind", "version_id"])

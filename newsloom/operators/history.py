@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.operators.asof import period
+from newsloom.operators.asof import PERIOD_ROWS, Periods, cut_periods
 from newsloom.shared import micros, number
 
 RECENT = 20
@@ -26,19 +26,22 @@ def recent_weights(inter: DataFrame, n: int = RECENT, decay: float = DECAY, *kee
     return e.select("impression_id", *keep, "article_id", (F.col("p") + 1).alias("hpos"), F.pow(F.lit(decay), (F.col("m") - 1 - F.col("p")).cast("double")).alias("weight"))
 
 
-def _prior_sums(df: DataFrame, key: str, sums: dict[str, Column], bounds: list[int]) -> DataFrame:
+def _prior(df: DataFrame, key: str, sums: dict[str, Column], cuts: Periods, last: tuple[str, ...] = ()) -> DataFrame:
     """``impression_id`` and, for each name, the sum over the key's rows strictly before in order of
-    (time, id). Rows are cut into periods of time: totals of earlier periods are added to a running
-    sum inside the period, so no key's rows ever meet in one task. A NULL key gives no row."""
-    d = df.where(F.col(key).isNotNull()).select("impression_id", F.col(key).alias("k"), F.col("t"), period(F.col("t"), bounds).alias("p"), *[c.alias(n) for n, c in sums.items()])
-    tot = d.groupBy("k", "p").agg(*[F.sum(n).alias(n) for n in sums])
-    earlier = W.partitionBy("k").orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # at most one row per period
-    off = tot.select("k", "p", *[F.sum(n).over(earlier).alias(f"o_{n}") for n in sums])
-    w = W.partitionBy("k", "p").orderBy("t", "impression_id").rowsBetween(W.unboundedPreceding, -1)
-    return d.join(off, ["k", "p"]).select("impression_id", *[(F.coalesce(f"o_{n}", F.lit(0)) + F.coalesce(F.sum(n).over(w), F.lit(0))).alias(n) for n in sums])
+    (time, id); for the columns ``last`` their values in the row just before, as ``last_<column>``. Rows
+    are cut into periods of time: totals and last rows of earlier periods are added to what a window
+    inside the period gives, so no key's rows ever meet in one task. A NULL key gives no row."""
+    d = df.where(F.col(key).isNotNull()).select("impression_id", F.col(key).alias("k"), F.col("t"), cuts.number(F.col("t")).alias("p"), F.struct(F.lit(True).alias("there"), *last).alias("row"), *[c.alias(n) for n, c in sums.items()])
+    tot = d.groupBy("k", "p").agg(F.max_by("row", F.struct("t", "impression_id")).alias("end"), *[F.sum(n).alias(n) for n in sums])
+    earlier = W.partitionBy("k").orderBy("p")  # at most one row per period
+    off = tot.select("k", "p", F.lag("end").over(earlier).alias("__end"), *[F.sum(n).over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias(f"o_{n}") for n in sums])
+    w = W.partitionBy("k", "p").orderBy("t", "impression_id")
+    run = w.rowsBetween(W.unboundedPreceding, -1)
+    j = d.join(off, ["k", "p"]).withColumn("__last", F.coalesce(F.lag("row").over(w), F.col("__end")))
+    return j.select("impression_id", *[(F.coalesce(f"o_{n}", F.lit(0)) + F.coalesce(F.sum(n).over(run), F.lit(0))).alias(n) for n in sums], *[F.col(f"__last.{c}").alias(f"last_{c}") for c in last])
 
 
-def prior_figures(df: DataFrame, legacy_holes: bool = False, periods: int = 64) -> DataFrame:
+def prior_figures(df: DataFrame, legacy_holes: bool = False, spans: int = 64, period_rows: int = PERIOD_ROWS) -> DataFrame:
     """Per impression, over strictly earlier rows: clicks in its session, and the user's mean read time
     and scroll depth. Rows are in order of time (NULL first), then id; a row without session or
     user has 0 clicks or NULL means. NaN counts as no value. ``legacy_holes``: a mean is NULL if the
@@ -47,20 +50,18 @@ def prior_figures(df: DataFrame, legacy_holes: bool = False, periods: int = 64)
     ``df``: impression_id (unique), user_id, session_id, impression_time, read_time, scroll_percentage, n_clicked.
     """
     d = df.withColumn("t", micros("impression_time"))
-    cut = d.agg(F.percentile_approx("t", [i / periods for i in range(1, periods)], 1000)).first()[0] if periods > 1 else []
-    bounds = sorted({int(x) for x in cut or []})
+    cuts = cut_periods(d, "t", spans, period_rows)
     rt, sp = number(F.col("read_time")), number(F.col("scroll_percentage"))
     one = lambda c: F.when(c.isNotNull(), 1).otherwise(0)
-    s = _prior_sums(d, "session_id", {"clicks": F.col("n_clicked").cast("long")}, bounds)
-    u = _prior_sums(d, "user_id", {"rt": F.coalesce(rt, F.lit(0.0)), "rn": one(rt), "sp": F.coalesce(sp, F.lit(0.0)), "sn": one(sp)}, bounds)
+    s = _prior(d, "session_id", {"clicks": F.col("n_clicked").cast("long")}, cuts)
+    u = _prior(d, "user_id", {"rt": F.coalesce(rt, F.lit(0.0)), "rn": one(rt), "sp": F.coalesce(sp, F.lit(0.0)), "sn": one(sp)}, cuts, ("read_time", "scroll_percentage") if legacy_holes else ())
     j = d.select("impression_id").join(s, "impression_id", "left").join(u, "impression_id", "left")
     mean = lambda a, n: F.try_divide(F.col(a), F.col(n).cast("double"))
-    out = j.select("impression_id", F.coalesce("clicks", F.lit(0)).cast("long").alias("session_prior_click_count"), mean("rt", "rn").alias("user_avg_past_read_time"), mean("sp", "sn").alias("user_avg_past_scroll_pct"))
-    if legacy_holes:
-        w = W.partitionBy("user_id").orderBy("t", "impression_id")
-        last = d.where("user_id IS NOT NULL").select("impression_id", F.lag("read_time").over(w).alias("lr"), F.lag("scroll_percentage").over(w).alias("ls"))
-        out = out.join(last, "impression_id", "left").select("impression_id", "session_prior_click_count", F.when(F.col("lr").isNotNull(), F.col("user_avg_past_read_time")).alias("user_avg_past_read_time"), F.when(F.col("ls").isNotNull(), F.col("user_avg_past_scroll_pct")).alias("user_avg_past_scroll_pct"))
-    return out
+    holes = lambda m, c: F.when(F.col(f"last_{c}").isNotNull(), m) if legacy_holes else m
+    return j.select(
+        "impression_id", F.coalesce("clicks", F.lit(0)).cast("long").alias("session_prior_click_count"),
+        holes(mean("rt", "rn"), "read_time").alias("user_avg_past_read_time"), holes(mean("sp", "sn"), "scroll_percentage").alias("user_avg_past_scroll_pct"),
+    )
 
 
 def user_slices(inter: DataFrame, threshold: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from newsloom.operators import sessions
-from newsloom.operators.asof import known_attributes, known_versions
+from newsloom.operators.asof import cut_periods, known_attributes, known_versions
 from newsloom.operators.sessions import SessionTable, sessions_from_log
 from newsloom.shared import hadoop_path
 
@@ -28,10 +28,10 @@ def _data(seed, n=300):
 
 
 def test_known_versions(spark):
-    for seed, periods in ((1, 8), (2, 1), (3, 64)):
+    for seed, spans, each in ((1, 8, 1000), (2, 1, 1000), (3, 64, 1000), (1, 4, 5), (2, 1, 1)):
         ev, ve = _data(seed)
         e, v = spark.createDataFrame(ev, EV), spark.createDataFrame(ve, VE)
-        got = sorted((r.impression_id, r.entity_kind, r.version_id) for r in known_versions(e, v, "impression_id", "impression_time", {"user": "user_id", "article": "article_id"}, periods).collect())
+        got = sorted((r.impression_id, r.entity_kind, r.version_id) for r in known_versions(e, v, "impression_id", "impression_time", {"user": "user_id", "article": "article_id"}, spans, each).collect())
         want = set()
         for i, t, u, a, _ in ev:
             for kind, x in (("user", None if u is None else str(u)), ("article", a)):
@@ -177,3 +177,17 @@ def test_copies_with_other_times(spark):
         t.apply(_batch(spark, [(1, 1, 0)]), *COLS)
         t.apply(_batch(spark, [(1, 1, 2 * week)]), *COLS)
         assert t.read().count() == n
+
+
+def test_periods_never_fall(spark):
+    r = random.Random(4)
+    ts = sorted(r.choice([r.randrange(1000), r.randrange(10**9), 500]) for _ in range(400))
+    d = spark.createDataFrame([(t,) for t in ts] + [(None,)], "t long")
+    for spans, each in ((1, 1000), (1, 7), (8, 1000), (8, 5), (64, 1)):
+        cuts = cut_periods(d, "t", spans, each)
+        got = [(x.t, x.p) for x in d.select("t", cuts.number(F.col("t")).alias("p")).collect()]
+        ps = [p for _, p in sorted((t, p) for t, p in got if t is not None)]
+        assert ps == sorted(ps) and dict(got)[None] == 0 and ps[-1] <= (len(cuts.edges) - 1) * cuts.parts
+        outside = spark.createDataFrame([(-5,), (10**12,)], "t long").select(cuts.number(F.col("t")).alias("p")).collect()
+        assert outside[0].p == ps[0] and outside[1].p >= ps[-1]
+    assert cut_periods(d.limit(0), "t").edges == ()

@@ -51,13 +51,14 @@ def test_recent_weights(spark):
 def test_prior_figures_use_only_earlier_rows(spark):
     rows = [(1, 7, 1, at(0), 10.0, None, 1), (2, 7, 1, at(1), None, 5.0, 2), (3, 7, 1, at(2), 20.0, float("nan"), 0), (4, 7, 2, at(3), 5.0, 1.0, 1), (5, 8, 1, at(3), 99.0, 9.0, 0), (6, None, None, at(4), 1.0, 1.0, 1), (7, 7, 1, at(2), 1.0, 1.0, 1)]
     d = spark.createDataFrame(rows, SEEN)
-    for periods in (1, 3, 64):
-        got = {r.impression_id: (r.session_prior_click_count, r.user_avg_past_read_time, r.user_avg_past_scroll_pct) for r in history.prior_figures(d, periods=periods).collect()}
+    for spans, rows_each in ((1, 100), (3, 100), (64, 100), (3, 1), (1, 1)):
+        got = {r.impression_id: (r.session_prior_click_count, r.user_avg_past_read_time, r.user_avg_past_scroll_pct) for r in history.prior_figures(d, spans=spans, period_rows=rows_each).collect()}
         assert got[1] == (0, None, None) and got[2] == (1, 10.0, None) and got[3] == (3, 10.0, 5.0)
         assert got[7] == (3, 15.0, 5.0)  # same time as 3: the id decides
         assert got[4] == (0, 31 / 3, 3.0) and got[5] == (4, None, None) and got[6] == (0, None, None)
-    legacy = {r.impression_id: r.user_avg_past_read_time for r in history.prior_figures(d, True).collect()}
-    assert legacy[3] is None and legacy[7] == 15.0
+    for spans, rows_each in ((64, 100), (1, 1), (1, 100)):
+        legacy = {r.impression_id: r.user_avg_past_read_time for r in history.prior_figures(d, True, spans, rows_each).collect()}
+        assert legacy[3] is None and legacy[7] == 15.0
 
 
 def test_freshness_never_uses_the_future(spark):
