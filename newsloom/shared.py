@@ -87,6 +87,15 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    p, fs = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
     """Write a file that must not exist yet, in one rename; False if another writer came first."""
     jvm = spark.sparkContext._jvm

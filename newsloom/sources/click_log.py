@@ -41,6 +41,25 @@ def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return d.select(*columns) if columns else d
 
 
+def table_facts(spark: SparkSession, path: str) -> tuple[list[tuple[str, str]], int]:
+    """Names and types of the columns, and the number of rows; both come from the files' footers, no
+    column is read."""
+    d = spark.read.parquet(path)
+    return d.dtypes, d.count()
+
+
+def sample_json(df: DataFrame, n: int = 3) -> list[str]:
+    """The first n rows as indented JSON, to look at (n is the feature)."""
+    return [r[0] for r in df.limit(n).select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})).collect()]
+
+
+def accuracy_rows(behaviors: DataFrame) -> DataFrame:
+    """Rows that count for accuracy: those not flagged ``is_beyond_accuracy``, all if there is no such flag."""
+    if "is_beyond_accuracy" not in behaviors.columns:
+        return behaviors
+    return behaviors.where(~F.coalesce("is_beyond_accuracy", F.lit(False)))
+
+
 def entity_vectors(spark: SparkSession, *paths: str, size: int = VECTOR_SIZE) -> DataFrame:
     """``entity_id, vec`` from tab-separated vector files; of an entity in several files the first
     file's vector counts. Lines with too few numbers drop out."""
@@ -53,10 +72,15 @@ def entity_vectors(spark: SparkSession, *paths: str, size: int = VECTOR_SIZE) ->
 
 
 def extract_if_absent(data_dir: str, name: str) -> str:
-    """Unpack ``name.zip`` beside the wanted directory if that is absent; runs on the driver only."""
+    """Unpack ``name.zip`` beside the wanted directory if that is absent; runs on the driver only, before
+    any cluster reads the files. Members that would leave the directory are refused."""
     want = os.path.join(data_dir, name)
     if not os.path.isdir(want):
         with zipfile.ZipFile(want + ".zip") as z:
+            root = os.path.realpath(want)
+            for m in z.namelist():
+                if not os.path.realpath(os.path.join(want, m)).startswith(root):
+                    raise ValueError(f"{m} leads out of {want}")
             z.extractall(want)
     return want
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, vectors
 from newsloom.operators import bm25f, features, guards, history, learn, metrics, ranking, resample, semantic
+from newsloom.shared import materialize, new_path
 from newsloom.sources import click_log, sinks
 
 T0 = datetime(2031, 1, 1)
@@ -204,8 +205,67 @@ def test_boosting_learns(spark):
         best = int(np.argmax(x[:, 0] - x[:, 1]))
         rows += [(i, j + 1, float(x[j, 0]), float(x[j, 1]) if j else None, int(j == best)) for j in range(6)]
     d = spark.createDataFrame(rows, "impression_id long, pos int, u double, w double, label int")
-    scored = learn.RankBoost(trees=6, depth=3, rate=0.3).fit(d.where("impression_id < 100"), ["u", "w"]).predict(d.where("impression_id >= 100"))
+    fitted = learn.RankBoost(trees=6, depth=3, rate=0.3).fit(d.where("impression_id < 100"), ["u", "w"])
+    val = d.where("impression_id >= 100")
+    scored = fitted.predict(val)
     assert metrics.impression_metrics(scored, "model_score").agg(F.avg("auc")).first()[0] > 0.8
+    path = new_path(spark, "model")
+    fitted.save(spark, path)
+    again = learn.RankBoost.load(spark, path)
+    assert again == fitted and again.predict(val).collect() == scored.collect()
+    with pytest.raises(FileNotFoundError):
+        learn.RankBoost.load(spark, path + "-none")
+
+
+def test_boosting_does_not_depend_on_storing(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, j, float(r.normal()), int(r.integers(0, 2))) for i in range(60) for j in range(5)]
+    d = spark.createDataFrame(rows, "impression_id long, pos int, u double, label int")
+    got = []
+    for every, few in ((1, 64), (100, 64), (100, 0)):
+        monkeypatch.setattr(learn, "STORE_EVERY", every)
+        monkeypatch.setattr(learn, "FEW_TASKS", few)
+        got.append([r.model_score for r in learn.RankBoost(trees=4, depth=2).fit(d, ["u"]).predict(d).orderBy("impression_id", "pos").collect()])
+    assert np.allclose(got[0], got[1]) and np.allclose(got[0], got[2]) and len(set(got[0])) > 2
+
+
+def test_encoder_gradients():
+    r = np.random.default_rng(0)
+    m = learn.Nrms({f"w{k}": k for k in range(2, 9)}, size=8, heads=2, title=5, seed=1)
+    hist, shown = r.integers(0, 9, (3, 4, 5)), r.integers(1, 9, (3, 3, 5))
+    hist[0, :2] = 0
+    hist[2] = 0
+    _, grad = m.gradients(hist, shown)
+    for k, g in grad.items():
+        for at in [tuple(r.integers(0, x) for x in g.shape) for _ in range(4)]:
+            old, ends = m.w[k][at], []
+            for step in (1e-5, -1e-5):
+                m.w[k][at] = old + step
+                ends.append(m.gradients(hist, shown)[0])
+            m.w[k][at] = old
+            assert np.isclose((ends[0] - ends[1]) / 2e-5, g[at], atol=1e-6), (k, at)
+
+
+def test_encoder_learns_and_is_saved(spark):
+    arts = spark.createDataFrame([(f"{t}{k}", f"{t} word{k} text") for t in ("sport", "music") for k in range(6)], "article_id string, title string")
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(80):
+        t, o = (("sport", "music"), ("music", "sport"))[i % 2]
+        rows.append((i, [f"{t}{r.integers(6)}" for _ in range(3)], [f"{o}{r.integers(6)}", f"{t}{r.integers(6)}", f"{o}{r.integers(6)}"], [0, 1, 0]))
+    rows += [(100, ["sport1"], ["sport1", "sport2"], [0, 0]), (101, ["sport1"], ["sport1"], [1]), (102, [], ["gone", "sport2"], [1, 0]), (103, [], ["music1"], [1, 0])]
+    d = spark.createDataFrame(rows, "impression_id long, history_ids array<string>, candidate_ids array<string>, labels array<int>")
+    m = learn.Nrms(learn.build_vocab(arts), size=8, heads=2, title=4)
+    inst = materialize(learn.instances(d, arts, m, 2, 5), "instances")
+    got = inst.collect()
+    assert len(got) == 81 and all(len(x.hist) == 5 and len(x.shown) == 3 and len(x.shown[0]) == 4 for x in got)
+    assert next(x for x in got if x.row.startswith("102-")).shown[0] == [0] * 4
+    losses = m.fit(inst, epochs=6, batches=2, rate=0.02)
+    assert losses[-1] < 0.5 * losses[0] and losses[0] > 0.5
+    root = new_path(spark, "nrms")
+    m.save(spark, root)
+    again = learn.Nrms.load(spark, root)
+    assert np.array_equal(again.titles(["sport word1"]), m.titles(["sport word1"]))
 
 
 def test_attention_ignores_padding():
