@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Callable, Hashable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Sequence
+
+_RUN = re.compile(b"\1+")
 
 
 class SuffixAutomaton:
@@ -71,15 +74,17 @@ def repeated_lengths(tokens: Sequence[Hashable], least: int = 1, times: int = 2,
     """
     out = [0] * len(tokens)
     count = Counter(tokens)
-    need, runs = times, [(0, len(tokens))]
+    need = times
     while True:
-        runs = [(i, j) for i, j in _runs(tokens, runs, count, need) if j - i >= least and (j - i > 1 or alone is None or alone(tokens[i], count[tokens[i]]))]
+        often = {t for t, c in count.items() if c >= need}
+        runs = [m.span() for m in _RUN.finditer(bytes(map(often.__contains__, tokens)))]
         longest = max((j - i for i, j in runs), default=0)
-        if not longest:
+        if longest < least or not longest:
             return out
         if weight <= need * longest:
             break
         need = max(need + 1, int(weight / longest))
+    runs = [(i, j) for i, j in runs if j - i >= least and (j - i > 1 or alone is None or alone(tokens[i], count[tokens[i]]))]
     seq: list[Hashable] = []
     at: list[int] = []
     for k, (i, j) in enumerate(runs):
@@ -93,20 +98,6 @@ def repeated_lengths(tokens: Sequence[Hashable], least: int = 1, times: int = 2,
     return out
 
 
-def _runs(tokens: Sequence[Hashable], within: list[tuple[int, int]], count: Counter, need: int) -> Iterator[tuple[int, int]]:
-    """Longest ranges inside the given ones whose tokens all occur at least ``need`` times."""
-    for i, end in within:
-        start = i
-        while i < end:
-            if count[tokens[i]] < need:
-                if i > start:
-                    yield start, i
-                start = i + 1
-            i += 1
-        if end > start:
-            yield start, end
-
-
 def _repeats(tokens: Sequence[Hashable], times: int, weight: float, alone: Callable[[Hashable, int], bool] | None) -> list[int]:
     """The lengths for all positions, from the automaton of the whole sequence and the number of
     occurrences of each state's substrings."""

@@ -53,7 +53,7 @@ _LINK_SIGNS = ("<a", "](", "://", "www.", "<A", "WWW.")
 _DOMAIN = regex.compile(r"\b(?:[\w-]+\.)+\p{L}{2,}(?:/[^\s<>\"')\]]*|(?=\s|$))")
 _DOMAIN_SIGN = re.compile(r"\w\.[^\W\d_]{2}")
 _TAG = regex.compile(r"<(?:!--.*?--|[/!?]?\p{L}[^<>]*)>", regex.S)
-_BREAK = re.compile(r"\n+|(?<=[.!?…])[\"”»')\]]*\s+|(?<=[。！？])|\s+[•·|¦/]\s+")
+_BREAK = re.compile(r"[.!?…][\"”»')\]]*\s+|\n+|[。！？]|\s[•·|¦/]\s+")
 _UNSEEN = regex.compile(r"\p{Cf}")
 _HASH = regex.compile(r"[#@][\p{L}\p{N}_]+|\b\p{L}{2,12}[:=][\p{L}\p{N}_-]+")
 _HASH_SIGN = re.compile(r"[#@:=]")
@@ -64,6 +64,17 @@ def _mark(m) -> str:
     return "￼" * (m.end() - m.start())
 
 
+def _segments(text: str) -> list[str]:
+    """Lines, sentences with their final mark, and entries of lists, without the breaks between them."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        k = m.start()
+        out.append(text[at : k + (text[k] in _FINAL)])
+        at = m.end()
+    out.append(text[at:])
+    return [x for x in out if x and not x.isspace()]
+
+
 def _sentences(texts: list[str], split: list[list[str]]) -> tuple[list[bool], list[bool]]:
     """Whether a segment is a sentence with its final mark, or a line of one; and whether it is such a
     line that goes on below."""
@@ -141,7 +152,7 @@ def page_figures(text: str | None) -> dict[str, float]:
         t = unicodedata.normalize("NFC", _UNSEEN.sub("", t))
         unspaced = _HAS_UNSPACED.search(t) is not None
     find = _ANY_WORD.findall if unspaced else _WORD.findall
-    written = [x for x in _BREAK.split(t) if x and not x.isspace()]
+    written = _segments(t)
     texts = [x.lower() for x in written]
     sizes = [len(x) - x.count(" ") for x in texts]
     total = sum(sizes)
