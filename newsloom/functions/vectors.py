@@ -68,3 +68,51 @@ def as_lists(m: np.ndarray) -> pa.Array:
     """A matrix as an array of lists."""
     n, d = m.shape
     return pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), m.ravel())
+
+
+def _summed(keys: pa.Array, m: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct keys in order of appearance with the sums of their rows."""
+    enc = keys.dictionary_encode()
+    at = enc.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return enc.dictionary, np.add.reduceat(m[order], first)
+
+
+def sum_vectors(rows: DataFrame, key: str) -> DataFrame:
+    """``key, vec``: for rows (key, w, vec) the sum of w * vec of every key. Tasks add up what they hold before
+    the shuffle, and after it in order of key, so a key of any number of rows is never held whole."""
+    ship_package(rows.sparkSession)
+    t = rows.schema[key].dataType.simpleString()
+
+    def matrix(vecs: pa.Array, n: int) -> np.ndarray:
+        return vecs.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def batch(keys: pa.Array, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, as_lists(m)], names=[key, "vec"])
+
+    def partial(batches):
+        for b in batches:
+            if b.num_rows:
+                yield batch(*_summed(b.column(0), matrix(b.column(2), b.num_rows) * b.column(1).to_numpy(zero_copy_only=False)[:, None]))
+
+    def final(batches):
+        held = None  # the last key, whose rows may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, m = _summed(b.column(0), matrix(b.column(1), b.num_rows))
+            if held is not None:
+                if held[0][0].equals(keys[0]):
+                    m[0] += held[1][0]
+                else:
+                    yield batch(*held)
+            if len(keys) > 1:
+                yield batch(keys[:-1], m[:-1])
+            held = keys[-1:], m[-1:]
+        if held is not None:
+            yield batch(*held)
+
+    schema = f"{key} {t}, vec array<double>"
+    parts = rows.select(key, F.col("w").cast("double").alias("w"), F.col("vec").cast("array<double>").alias("vec")).where(F.col(key).isNotNull()).mapInArrow(partial, schema)
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(final, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_text, tokens
-from newsloom.functions.vectors import as_lists, dot, fuse, reduce_lists, unit
+from newsloom.functions.vectors import as_lists, dot, fuse, reduce_lists, sum_vectors, unit
 from newsloom.operators.history import DECAY, RECENT, recent_weights
 from newsloom.shared import materialize, ship_package
 from newsloom.sources import sinks
@@ -125,9 +125,8 @@ class Lsa:
 
     def _times(self, x: DataFrame, basis: DataFrame, on: str, to: str) -> DataFrame:
         """Rows of the product: for every ``to`` the sum of w * basis[on]."""
-        e = x.join(basis, on).select(to, "w", F.posexplode("v").alias("d", "y"))
-        g = e.groupBy(to, "d").agg(F.sum(F.col("w") * F.col("y")).alias("s"))
-        return g.groupBy(to).agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("z")).select(to, F.transform("z", lambda s: s["s"]).alias("v"))
+        rows = x.join(basis, on).select(to, "w", F.col("v").alias("vec"))
+        return sum_vectors(rows, to).withColumnRenamed("vec", "v")
 
     def _orthonormal(self, basis: DataFrame, key: str) -> DataFrame:
         """Columns made orthonormal through the k x k Gram matrix."""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from newsloom.functions import vectors
 from newsloom.operators import bm25f, metrics, recommend, resample, semantic
 from newsloom.operators.recommend import Index
 from newsloom.shared import materialize, new_path
@@ -119,6 +120,23 @@ def test_lists_of_vectors_are_reduced_in_order(spark):
         assert np.allclose(u[k], v / (np.linalg.norm(v) or 1.0))
 
 
+def test_sums_of_vectors_over_batches(spark):
+    r = random.Random(7)
+    rows = [(r.choice(["hot", "hot", *(f"k{k}" for k in range(30))]), r.random(), [r.random(), r.random()]) for _ in range(3000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        d = spark.createDataFrame([*rows, (None, 1.0, [1.0, 1.0])], "k string, w double, vec array<double>").repartition(5)
+        got = {x.k: x.vec for x in vectors.sum_vectors(d, "k").collect()}
+        assert vectors.sum_vectors(d.limit(0), "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for k, w, v in rows:
+        want[k] = want.get(k, 0) + w * np.array(v)
+    assert set(got) == set(want) and all(np.allclose(got[k], v) for k, v in want.items())
+
+
 def test_recall_counts_indexed_truth_alone(spark):
     truth = spark.createDataFrame([(1, "a"), (1, "gone"), (2, "gone")], "impression_id long, article_id string")
     found = spark.createDataFrame([(1, "a", 3)], "impression_id long, article_id string, rank int")
