@@ -54,7 +54,7 @@ def build(spark: SparkSession, articles: DataFrame, interactions: DataFrame, out
 def predict(spark: SparkSession, interactions: DataFrame, index: recommend.Index, out: str, split: str = "test", methods: tuple[str, ...] = recommend.SCORES) -> None:
     """Rank files of a split, one for each method, with a zip beside it."""
     own = interactions.where(F.col("split") == split)
-    scored = recommend.retrieval_scores(click_log.candidates(own), own, index)
+    scored = recommend.retrieval_scores(own, index)
     lines = materialize(recommend.prediction_lines(scored, methods), "lines")
     for m in methods:
         sinks.write_rank_file(lines.where(F.col("method") == m).select(F.col("impression_id").alias("ordinal"), "line"), f"{out}/{m}", f"{out}/{m}.zip")
@@ -82,7 +82,7 @@ def serve(spark: SparkSession, interactions: DataFrame, index: recommend.Index,
 
     def call(k: int) -> int:
         some = own.where(F.pmod(F.xxhash64("impression_id"), F.lit(parts)) == k % parts)
-        return recommend.prediction_lines(recommend.retrieval_scores(click_log.candidates(some), some, index)).count()
+        return recommend.prediction_lines(recommend.retrieval_scores(some, index)).count()
 
     out = serving_figures(call, range(calls))
     return out | {"batch": batch, "ms_per_impression": out["mean_ms"] / batch}
