@@ -1,7 +1,8 @@
 """Scores by tasks that hold the index whole, against the joins; no broadcast of exploded terms."""
 
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
 from newsloom.operators import bm25f, recommend, whole
 from newsloom.operators.recommend import Index
@@ -50,6 +51,16 @@ def test_whole_index_without_vectors_or_postings(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_search_of_whole_index_as_in_blocks(spark, k):
+    r = random.Random(3)
+    terms = spark.createDataFrame([(i, f"t{t}", r.choice([0.5, 1.0])) for i in range(40) for t in r.sample(range(30), r.randrange(1, 8))] + [(999, "unknown", 1.0)], "impression_id long, term string, qw double")
+    index = spark.createDataFrame([(f"a{i}", f"t{t}", r.choice([0.25, 1.0])) for i in range(60) for t in r.sample(range(35), r.randrange(0, 6))], "article_id string, term string, weight double")
+    got, want = (sorted((x.impression_id, x["rank"], x.article_id, round(x.score, 9)) for x in d.collect()) for d in (whole.search_top(terms, index, k), bm25f.search_top(terms, index, k)))
+    assert got == want and got
+    assert whole.search_top(terms.limit(0), index, k).count() == 0 == whole.search_top(terms, index.limit(0), k).count()
+
+
 def test_exploded_terms_are_never_broadcast(spark):
     i, index = _tables(spark)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
