@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from newsloom.operators import bm25f, recommend, whole
+from newsloom.operators import bm25f, recommend, semantic, whole
 from newsloom.operators.recommend import Index
 from newsloom.shared import materialize
 
@@ -74,3 +74,26 @@ def test_exploded_terms_are_never_broadcast(spark):
         assert stats.count("SortMergeJoin") >= 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_ranks_of_clicks_as_in_the_lists(spark):
+    """Every place in the lists of both searches, from the whole index: ties, unknown articles, no history."""
+    i, index = _tables(spark)
+    ids = [a[0] for a in ARTS] + ["gone"]
+    q = i.selectExpr("impression_id", "history_ids", f"array({','.join(repr(x) for x in ids)}) AS wanted")
+    got = whole.ranks(q, whole.ship(index.postings, None, index.vectors), step=2).collect()
+    assert len(got) == len(INTER) * len(ids)
+    found = {
+        "bm25": bm25f.search_top(materialize(bm25f.query_terms(i, index.articles), "terms"), index.postings, 1000),
+        "semantic": semantic.search_top(semantic.user_vectors(i, index.vectors), index.vectors, 1000),
+    }
+    for m, lists in found.items():
+        want = {(r.impression_id, r.article_id): r["rank"] for r in lists.collect()}
+        assert {(r.impression_id, r.article_id): r[m] for r in got if r[m] is not None} == want and want, m
+
+
+def test_ranking_tasks_stay_several_after_a_join(spark):
+    i, index = _tables(spark)
+    few = i.select("impression_id", "history_ids").join(i.selectExpr("impression_id", "array('a1') AS wanted").hint("merge"), "impression_id")
+    d = whole.ranks(few, whole.ship(index.postings, None, index.vectors))
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
