@@ -97,3 +97,15 @@ def test_ranking_tasks_stay_several_after_a_join(spark):
     few = i.select("impression_id", "history_ids").join(i.selectExpr("impression_id", "array('a1') AS wanted").hint("merge"), "impression_id")
     d = whole.ranks(few, whole.ship(index.postings, None, index.vectors))
     assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("rows", [1, 10**6])
+def test_scores_of_the_whole_corpus_without_shuffling_them(spark, rows, monkeypatch):
+    monkeypatch.setattr(whole, "BATCH", rows)
+    i, index = _tables(spark)
+    terms = materialize(bm25f.query_terms(i, index.articles), "terms")
+    d = whole.score_all(terms, index.postings)
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r.impression_id, r.article_id): r.score for r in x.collect()} for x in (d, bm25f.score_all(terms, index.postings)))
+    assert got == pytest.approx(want) and got
+    assert whole.score_all(terms.limit(0), index.postings).count() == 0 == whole.score_all(terms, index.postings.limit(0)).count()
