@@ -8,7 +8,7 @@ import __spark_entry__
 from newsloom import shared
 
 
-@pytest.mark.parametrize("name", ["prediction_pass"])
+@pytest.mark.parametrize("name", ["prediction_pass", "evaluation_report"])
 def test_index_and_scores_broadcast_no_terms_and_no_rows(spark, sf, name, monkeypatch):
     plans = {}
 
